@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_dedup, topk, toxicity, warc
+from . import decontamination, language, mixing, near_dedup, pii, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_near_dedup": near_dedup.op2,
     "op4_warc": warc.op4,
+    "op5_pii": pii.op5,
     "op6_language": language.op6,
     "op7_topk": topk.op7,
+    "op8_secrets": secrets.op8,
     "op9_decontamination": decontamination.op9,
     "op10_mixing": mixing.op10,
 }
