@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_dedup, pii, secrets, topk, toxicity, warc
+from . import decontamination, language, mixing, near_dedup, pii, secrets, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
     "op2_near_dedup": near_dedup.op2,
+    "op3_substring_dedup": substring_dedup.op3,
     "op4_warc": warc.op4,
     "op5_pii": pii.op5,
     "op6_language": language.op6,
