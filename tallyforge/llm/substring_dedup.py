@@ -6,8 +6,10 @@ symbols in every text. Of a window of words, each round drops what the words out
 the last run, then a leading right and a trailing left symbol. What is left is the same wherever the window occurs. The
 longest symbol of its last non-empty level, with the symbols on either side, is the window's high-level symbol.
 
-Only high-level symbols that occur twice or more in the corpus can lie in repeated windows. The windows around those
-are named in full and held against each other; the first of each name by (document, position) stays.
+Only high-level symbols that occur twice or more in the corpus can lie in repeated windows. Consecutive windows around
+one occurrence form a run, named by all words under it: a run that occurs earlier is repeated as a whole. Where a symbol
+has runs of different names, the windows of each name's first run are named in full and held against each other. The
+first of each name by (document, position) stays.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from . import tokens as tk
 from .scratch import dropped, small_batches, written
 
 WIDTH = 20
+#: Rounds at most: each further one leaves fewer, longer symbols in a window.
+LEVELS = 2
 _MIX1, _MIX2 = tk.U(0x9E3779B97F4A7C15), tk.U(0xC2B2AE3D27D4EB4F)
 CHUNK = 1 << 18
 
@@ -61,7 +65,7 @@ def high_symbols(words: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple
         s2 = run_pos[np.minimum(after + (right[np.minimum(after, r - 1)] & (after < r)), r)]
         own = run[index[e[live]] - 1]
         e2 = run_pos[np.maximum(own - (~right[np.maximum(own - 1, 0)] & (own > 0)), 0)]
-        core = s2 < e2
+        core = (s2 < e2) & (level < LEVELS)
         ends = live[~core]
         if len(ends):
             a, b = index[s[ends]], index[e[ends]]
@@ -122,7 +126,7 @@ def _joined(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarr
 
 
 def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By text, runs of windows with one high-level symbol occurrence: its key, the first window, their number, and 1 at the occurrence's first run."""
+    """By text, runs of windows with one high-level symbol occurrence: its key, the run's name, first window and number, and 1 at the occurrence's first run."""
     for batch in batches:
         for a, b, part, starts, ends, at, words in _texts(batch, 1):
             win, key, occurrence = high_symbols(words, at)
@@ -133,10 +137,12 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once[np.unique(occurrence[lead], return_index=True)[1]] = 1
             lists = pa.array(np.searchsorted(win[lead], at).astype(np.int32))
             base = np.repeat(at[:-1], np.diff(np.searchsorted(win[lead], at)))
-            cols = [tk.as_long(key[lead]), (win[lead] - base).astype(np.int32), np.diff(np.append(lead, len(win))).astype(np.int32), once]
+            count = np.diff(np.append(lead, len(win)))
+            name = tk.span_hashes(words, win[lead], count + WIDTH - 1)
+            cols = [tk.as_long(key[lead]), tk.as_long(name), (win[lead] - base).astype(np.int32), count.astype(np.int32), once]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(_joined(part, starts, ends, at)), *(pa.ListArray.from_arrays(lists, pa.array(c)) for c in cols)],
-                ["doc_id", "n_words", "sha", "key", "start", "count", "once"],
+                ["doc_id", "n_words", "sha", "key", "name", "start", "count", "once"],
             )
 
 
@@ -157,7 +163,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).slice(a, b - a).to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(tk.as_long(name[hit])), pa.array((mark[hit] >> tk.U(32)).astype(np.uint32).view(np.int32)), pa.array(ids[row]), pa.array(pos.astype(np.int32))],
-                ["name", "mark", "doc_id", "pos"],
+                ["name", "mark", "doc_id", "start"],
             )
 
 
@@ -181,15 +187,14 @@ def _grouped(run):
 def _kept(clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column(2)
+            runs_at = np.asarray(batch.column(2).offsets).astype(np.int64)
+            start, count = (batch.column(2).values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
             for a, b, part, starts, ends, at, words in _texts(batch, 1):
                 cover = np.zeros(len(words) + 1, np.int64)
-                for i in range(b - a):
-                    first = gone[a + i].values
-                    if first is not None and len(first):
-                        p = np.unique(first.to_numpy()) + at[i]
-                        cover[p] += 1
-                        cover[p + WIDTH] -= 1
+                own = slice(runs_at[a], runs_at[b])
+                lead = start[own] + np.repeat(at[:-1], np.diff(runs_at[a : b + 1]))
+                np.add.at(cover, lead, 1)
+                np.add.at(cover, lead + count[own] + WIDTH - 1, -1)
                 keep = np.cumsum(cover)[: len(words)] <= 0
                 before = np.concatenate([[0], np.cumsum(~keep)])
                 cols = [batch.column(0).slice(a, b - a), pa.array(before[at[1:]] - before[at[:-1]]), pa.array(_joined(part, starts, ends, at, keep))]
@@ -210,27 +215,31 @@ def _released(spark: SparkSession) -> None:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words, sha) of all texts, and (doc_id, first: positions of windows that occur earlier)."""
+    """(doc_id, n_words, sha) of all texts, and (doc_id, runs: starts and numbers of windows that occur earlier)."""
     spark = docs.sparkSession
     small_batches(spark, 1024)
-    arrays = "key array<long>, start array<int>, count array<int>, once array<int>"
+    arrays = "key array<long>, name array<long>, start array<int>, count array<int>, once array<int>"
     symbols = written(docs.mapInArrow(_symbols, f"doc_id long, n_words long, sha string, {arrays}"), "symbols")
-    each = symbols.select("doc_id", F.explode(F.arrays_zip("key", "start", "count", "once")).alias("x")).select("doc_id", "x.*")
+    each = symbols.select("doc_id", F.explode(F.arrays_zip("key", "name", "start", "count", "once")).alias("x")).select("doc_id", "x.*")
     shared = each.groupBy("key").agg(F.sum("once").alias("n")).filter("n > 1").select("key")
-    hits = written(each.select("key", "doc_id", "start", "count").join(shared, "key").select("doc_id", "start", "count"), "hits")
+    runs = written(each.drop("once").join(shared, "key"), "runs")
     del each, shared
     _released(spark)
-    wanted = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
-    windows = written(docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(_grouped(_windows), "name long, mark int, doc_id long, pos int"), "windows")
-    del wanted
-    dropped(hits)
+    same = ["key", "name", "count"]
+    where = F.struct("doc_id", "start")
+    firsts = written(runs.groupBy(*same).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    again = runs.join(firsts.filter("n > 1").drop("n"), same).filter(where > F.col("first")).select("doc_id", "start", "count")
+    several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    open_runs = firsts.join(several, "key").select("first.doc_id", "first.start", "count")
+    wanted = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    windows = written(docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(_grouped(_windows), "name long, mark int, doc_id long, start int"), "windows")
+    del several, open_runs, wanted
     _released(spark)
-    where = F.struct("doc_id", "pos")
-    firsts = windows.groupBy("name", "mark").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter("first <> last").select("name", "mark", "first")
-    later = windows.join(firsts, ["name", "mark"]).filter(where > F.col("first")).select("doc_id", "pos")
-    repeats = written(later.groupBy("doc_id").agg(F.collect_list("pos").alias("first")), "repeats")
-    del firsts, later
-    dropped(windows)
+    earliest = windows.groupBy("name", "mark").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = windows.join(earliest, ["name", "mark"]).filter(where > F.col("first")).select("doc_id", "start", F.lit(1).alias("count"))
+    repeats = written(again.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "repeats")
+    del earliest, later, again
+    dropped(windows, runs, firsts)
     _released(spark)
     return symbols, repeats
 
@@ -248,7 +257,7 @@ def removed(docs: DataFrame) -> DataFrame:
     """
     docs = _columns(docs)
     symbols, repeats = repeated_windows(docs)
-    cut = docs.join(repeats, "doc_id").select("doc_id", "text", "first").mapInArrow(_kept(False), "doc_id long, n_removed long, sha string")
+    cut = docs.join(repeats, "doc_id").select("doc_id", "text", "runs").mapInArrow(_kept(False), "doc_id long, n_removed long, sha string")
     cut = cut.groupBy(F.col("doc_id").alias("d2")).agg(F.max(F.struct("n_removed", "sha")).alias("c"))
     plain = symbols.select("doc_id", "n_words", "sha").dropDuplicates(["doc_id"])
     out = plain.join(cut, plain["doc_id"] == cut["d2"], "left")
@@ -259,7 +268,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with repeated words cut; texts that lose words have the others joined by one blank."""
     docs = _columns(docs)
     _, repeats = repeated_windows(docs)
-    cut = docs.join(repeats, "doc_id").select("doc_id", "text", "first").mapInArrow(_kept(True), "doc_id long, n_removed long, sha string, text string")
+    cut = docs.join(repeats, "doc_id").select("doc_id", "text", "runs").mapInArrow(_kept(True), "doc_id long, n_removed long, sha string, text string")
     return docs.join(cut.select("doc_id", F.col("text").alias("cut")), "doc_id", "left").select("doc_id", F.coalesce("cut", "text").alias("text"))
 
 

@@ -130,6 +130,13 @@ def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     return mixed((sums[width:] - sums[:-width]) * powers(inverse(q), len(words) + 1)[:n])
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of words of any sizes."""
+    sums = np.zeros(len(words) + 1, U)
+    np.cumsum(words * powers(_Q, len(words)), out=sums[1:])
+    return mixed((sums[starts + sizes] - sums[starts]) * powers(inverse(_Q), len(words) + 1)[starts] + sizes.astype(U))
+
+
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. c - 1 for each c of counts, one after another."""
     total = int(counts.sum())
