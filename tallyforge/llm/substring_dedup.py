@@ -223,25 +223,32 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = symbols.select("doc_id", F.explode(F.arrays_zip("key", "name", "start", "count", "once")).alias("x")).select("doc_id", "x.*")
     shared = each.groupBy("key").agg(F.sum("once").alias("n")).filter("n > 1").select("key")
     runs = written(each.drop("once").join(shared, "key"), "runs")
-    del each, shared
+    plain = written(symbols.select("doc_id", "n_words", "sha"), "plain")
+    dropped(symbols)
+    del each, shared, symbols
     _released(spark)
     same = ["key", "name", "count"]
     where = F.struct("doc_id", "start")
     firsts = written(runs.groupBy(*same).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
-    again = runs.join(firsts.filter("n > 1").drop("n"), same).filter(where > F.col("first")).select("doc_id", "start", "count")
-    several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    again = written(runs.join(firsts.filter("n > 1").drop("n"), same).filter(where > F.col("first")).select("doc_id", "start", "count"), "again")
+    dropped(runs)
+    # Written, so that the join below deals both sides anew and a symbol with very many runs can be split.
+    several = written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "several")
+    del runs
+    _released(spark)
     open_runs = firsts.join(several, "key").select("first.doc_id", "first.start", "count")
     wanted = open_runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     windows = written(docs.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(_grouped(_windows), "name long, mark int, doc_id long, start int"), "windows")
-    del several, open_runs, wanted
+    dropped(firsts, several)
+    del firsts, several, open_runs, wanted
     _released(spark)
     earliest = windows.groupBy("name", "mark").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = windows.join(earliest, ["name", "mark"]).filter(where > F.col("first")).select("doc_id", "start", F.lit(1).alias("count"))
     repeats = written(again.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs")), "repeats")
-    del earliest, later, again
-    dropped(windows, runs, firsts)
+    dropped(windows, again)
+    del earliest, later, again, windows
     _released(spark)
-    return symbols, repeats
+    return plain, repeats
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -256,10 +263,10 @@ def removed(docs: DataFrame) -> DataFrame:
     and one result row stays for them, with the most removed. Other columns are not looked at.
     """
     docs = _columns(docs)
-    symbols, repeats = repeated_windows(docs)
+    plain, repeats = repeated_windows(docs)
     cut = docs.join(repeats, "doc_id").select("doc_id", "text", "runs").mapInArrow(_kept(False), "doc_id long, n_removed long, sha string")
     cut = cut.groupBy(F.col("doc_id").alias("d2")).agg(F.max(F.struct("n_removed", "sha")).alias("c"))
-    plain = symbols.select("doc_id", "n_words", "sha").dropDuplicates(["doc_id"])
+    plain = plain.dropDuplicates(["doc_id"])
     out = plain.join(cut, plain["doc_id"] == cut["d2"], "left")
     return out.select("doc_id", "n_words", F.coalesce("c.n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("c.sha", "sha").alias("kept_sha256"))
 
