@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "classes",
     )
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1").drop("n")
+    # Written, so that the join deals both sides anew and a bucket of very many members can be split.
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1").drop("n"), "shared")
     members = written(keyed.join(shared, "key").select("key", "rep", "leader"), "buckets")
     links = _links(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, percent)
     labels = connected_components(links)

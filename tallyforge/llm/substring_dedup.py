@@ -221,10 +221,11 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrays = "key array<long>, name array<long>, start array<int>, count array<int>, once array<int>"
     symbols = written(docs.mapInArrow(_symbols, f"doc_id long, n_words long, sha string, {arrays}"), "symbols")
     each = symbols.select("doc_id", F.explode(F.arrays_zip("key", "name", "start", "count", "once")).alias("x")).select("doc_id", "x.*")
-    shared = each.groupBy("key").agg(F.sum("once").alias("n")).filter("n > 1").select("key")
+    # Written, so that the join below deals both sides anew and a very common symbol can be split.
+    shared = written(each.groupBy("key").agg(F.sum("once").alias("n")).filter("n > 1").select("key"), "shared")
     runs = written(each.drop("once").join(shared, "key"), "runs")
     plain = written(symbols.select("doc_id", "n_words", "sha"), "plain")
-    dropped(symbols)
+    dropped(symbols, shared)
     del each, shared, symbols
     _released(spark)
     same = ["key", "name", "count"]
@@ -232,7 +233,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = written(runs.groupBy(*same).agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
     again = written(runs.join(firsts.filter("n > 1").drop("n"), same).filter(where > F.col("first")).select("doc_id", "start", "count"), "again")
     dropped(runs)
-    # Written, so that the join below deals both sides anew and a symbol with very many runs can be split.
+    # Written for the same reason.
     several = written(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "several")
     del runs
     _released(spark)
