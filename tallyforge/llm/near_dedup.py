@@ -26,8 +26,9 @@ from .scratch import dropped, small_batches, written
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: BANDS * ROWS minima: a pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 4) ** 20 = 4e-7.
-BANDS, ROWS, BITS = 20, 4, 4
+#: BANDS * ROWS minima: a pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 40 = 3e-6. Long
+#: bands keep texts that share only a common passage apart: at similarity 0.4 a pair shares one with 3 %.
+BANDS, ROWS, BITS = 40, 8, 2
 #: Estimates this far (standard errors) below the threshold are not verified: a true link is lost with 1e-7.
 SIGMAS = 5.2
 #: Leaders of a bucket in each round after the first.
@@ -211,18 +212,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     # Written, so that the join deals both sides anew and a bucket of very many members can be split.
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1").drop("n"), "shared")
-    members = written(keyed.join(shared, "key").select("key", "rep", "leader"), "buckets")
-    links = _links(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, percent)
+    members = written(keyed.join(shared, "key").select("key", "rep", F.col("leader").alias("upto")), "buckets")
+    links = _links(members.filter("rep <> upto").select(F.col("upto").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, percent)
     labels = connected_components(links)
-    done = members.groupBy("key").agg(F.max("leader").alias("upto"))
     while True:
         # Buckets of several components, and their members after the last leader.
-        placed = members.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = placed.join(done, "key").filter("rep > upto").groupBy("key", "upto").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "upto")
-        rest = written(placed.join(mixed, "key").filter("rep > upto").select("key", "rep", "comp"), "rest")
-        if rest.isEmpty():
-            dropped(rest)
+        placed = members.filter("rep > upto").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        several = written(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "several")
+        if several.isEmpty():
             break
+        rest = written(placed.join(several, "key"), "rest")
         order = Window.partitionBy("key").orderBy("rep")
         leaders = written(rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), "leaders")
         pairs = rest.join(leaders, "key").filter("rep > a and comp <> ca").select("a", F.col("rep").alias("b")).distinct()
@@ -231,10 +230,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             old, links = links, written(links.unionByName(more), "links")
             dropped(old, labels)
             labels = connected_components(links)
-        done = written(leaders.groupBy("key").agg(F.max("a").alias("upto")), "done")
+        done = leaders.groupBy("key").agg(F.max("a").alias("upto"))
         # Only the buckets of this round can need another.
-        members = written(rest.select("key", "rep"), "buckets")
-        dropped(rest, leaders, more)
+        before, members = members, written(rest.select("key", "rep").join(done, "key").filter("rep > upto"), "buckets")
+        dropped(before, rest, leaders, more, several)
     classes = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "n_shingles", "class_size", F.coalesce("comp", "rep").alias("comp"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
     return out.select(
