@@ -157,7 +157,7 @@ def test_secrets(docs, rows, spark, edge):
 
 def test_personal_data(docs, rows, spark, edge):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-    lit = [(1, "a@b.c@d.e x@y@z.com \U0001f600 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111 +1 (017) 555-7713. tel: (030) 555-0199 ok"), (2, None), (3, "mail jane (at) example (dot) com today"), (4, "@a.b a@b c@d.e- %@%.x"), (5, "in 2019 there were 1500 people and 4736962573099581 of them")]
+    lit = [(1, "a@b.c@d.e x@y@z.com \U0001f600 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111 +1 (017) 555-7713. tel: (030) 555-0199 ok"), (2, None), (3, "mail jane (at) example (dot) com today"), (4, "@a.b a@b c@d.e- %@%.x"), (5, "in 2019 there were 1500 people and 4736962573099582 of them")]
 
     def base(t):
         out = [(m.start(), 0, m.end()) for m in email.finditer(t)]
@@ -226,11 +226,11 @@ def test_forward_sums_all_segmentations():
 
 
 def test_toxicity(spark, edge):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     r = toxicity.scored(docs, labels).join(labels, "doc_id").collect()
     assert all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in r)
     pos, neg = [x.score for x in r if x.held_out and x.toxic], [x.score for x in r if x.held_out and not x.toxic]
-    assert np.mean([a > b for a in pos for b in neg]) > 0.75
+    assert np.mean([a > b for a in pos for b in neg]) > 0.8
     assert toxicity.scored(edge, labels.limit(0)).filter("score = 0 and predicted = 0").count() == len(EDGE)
 
 
