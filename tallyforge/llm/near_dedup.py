@@ -32,7 +32,7 @@ BANDS, ROWS, BITS = 40, 8, 2
 #: Estimates this far (standard errors) below the threshold are not verified: a true link is lost with 1e-7.
 SIGMAS = 5.2
 #: Leaders of a bucket in each round after the first.
-LEADERS = 32
+LEADERS = 8
 
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,20 +211,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     keyed = reps.select(F.explode("bands").alias("key"), "rep")
     # Written, so that the join deals both sides anew and a bucket of very many members can be split.
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).filter("n > 1").drop("n"), "shared")
-    members = written(keyed.join(shared, "key").select("key", "rep", F.col("leader").alias("upto")), "buckets")
-    links = _links(members.filter("rep <> upto").select(F.col("upto").alias("a"), F.col("rep").alias("b")).distinct(), reps, docs, percent)
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    buckets = written(keyed.join(shared, "key").select("key", "rep", "n"), "buckets")
+    # A text that meets many others leads first: the origin of a group of copies shares more bands with each than they share.
+    mass = buckets.groupBy("rep").agg(F.sum("n").alias("mass"))
+    members = written(buckets.join(mass, "rep").select("key", F.struct((-F.col("mass")).alias("mass"), F.col("rep")).alias("ord")), "members")
+    first = written(members.groupBy("key").agg(F.min("ord").alias("upto")), "first")
+    dropped(shared, buckets)
+    members = members.join(first, "key").filter("ord > upto")
+    links = _links(members.select(F.col("upto.rep").alias("a"), F.col("ord.rep").alias("b")).distinct(), reps, docs, percent)
     labels = connected_components(links)
     while True:
         # Buckets of several components, and their members after the last leader.
-        placed = members.filter("rep > upto").join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        placed = members.withColumn("rep", F.col("ord.rep")).join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "ord", F.coalesce("comp", "rep").alias("comp"))
         several = written(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "several")
         if several.isEmpty():
             break
         rest = written(placed.join(several, "key"), "rest")
-        order = Window.partitionBy("key").orderBy("rep")
-        leaders = written(rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), "leaders")
-        pairs = rest.join(leaders, "key").filter("rep > a and comp <> ca").select("a", F.col("rep").alias("b")).distinct()
+        order = Window.partitionBy("key").orderBy("ord")
+        leaders = written(rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("ord").alias("a"), F.col("comp").alias("ca")), "leaders")
+        pairs = rest.join(leaders, "key").filter("ord > a and comp <> ca").select(F.col("a.rep").alias("a"), F.col("ord.rep").alias("b")).distinct()
         more = _links(pairs, reps, docs, percent)
         if not more.isEmpty():
             old, links = links, written(links.unionByName(more), "links")
@@ -232,8 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             labels = connected_components(links)
         done = leaders.groupBy("key").agg(F.max("a").alias("upto"))
         # Only the buckets of this round can need another.
-        before, members = members, written(rest.select("key", "rep").join(done, "key").filter("rep > upto"), "buckets")
-        dropped(before, rest, leaders, more, several)
+        members = written(rest.select("key", "ord").join(done, "key").filter("ord > upto").select("key", "ord"), "members")
+        dropped(rest, leaders, more, several)
     classes = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "n_shingles", "class_size", F.coalesce("comp", "rep").alias("comp"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
     return out.select(
