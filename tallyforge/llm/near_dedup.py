@@ -32,7 +32,7 @@ BANDS, ROWS, BITS = 40, 8, 2
 #: Estimates this far (standard errors) below the threshold are not verified: a true link is lost with 1e-7.
 SIGMAS = 5.2
 #: Leaders of a bucket in each round after the first.
-LEADERS = 8
+LEADERS = 64
 
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
