@@ -21,7 +21,7 @@ from .scratch import new_path, small_batches, written
 
 #: Payloads of at least so many bytes are archived once.
 REVISIT_BYTES = 100
-SPLIT = 8 << 20
+SPLIT, MOST_TASKS = 8 << 20, 100_000
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -206,7 +206,9 @@ def read_archive(files: DataFrame, split: int = SPLIT) -> DataFrame:
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long")))
     ranges = files.filter("bytes > 0").select("path", "bytes", starts.alias("start")).withColumn("end", F.least(F.col("start") + split, F.col("bytes")))
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(_reader, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    # As many tasks as ranges: the rows are few, so Spark would join them into one task.
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:
