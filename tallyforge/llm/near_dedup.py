@@ -1,12 +1,14 @@
 """MinHash near-duplicates with b-bit signatures.
 
 Candidate pairs come from bands of full minima; what is kept of each minimum for the estimate is its low BITS bits,
-packed, and a pair's similarity is estimated from the count of equal fields, corrected for chance collisions. Only
-pairs whose estimate is within reach of the threshold have their full shingle sets compared.
+packed, and a pair's similarity is estimated from the count of equal fields, corrected for chance collisions. Beside
+it stand the counts of the set's shingles by a byte of their hashes: two sets share no more than the sum of the smaller
+counts. Only pairs whose estimate and bound are within reach of the threshold have their full shingle sets compared.
 
 Texts with equal shingle sets form one class before any pair is made. Within a band bucket not all pairs are made:
-members are compared with a few leaders, what is then connected needs no further comparison, and buckets that still
-hold several components go on with further leaders until every pair of them was compared.
+members are compared with one leader, and what is then connected needs no further comparison. Buckets that still hold
+several components are dealt in pairs of blocks; a task compares two blocks' signatures and emits only the pairs of
+different components that are within reach.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import tokens as tk
 from .components import connected_components
@@ -31,12 +32,16 @@ PERCENT = 85
 BANDS, ROWS, BITS = 40, 8, 2
 #: Estimates this far (standard errors) below the threshold are not verified: a true link is lost with 1e-7.
 SIGMAS = 5.2
-#: Leaders of a bucket in each round after the first.
-LEADERS = 64
+#: Shingles are counted by that many values of a byte of their hashes; a count stops at FULL, and then bounds nothing.
+PARTS, FULL = 256, 255
+#: Members of a block of a bucket; a task holds two blocks, of some 0.4 KB a member.
+BLOCK = 512
 
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: The lowest bit of each field of a packed word.
+_LOWEST = np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2))
 
 
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +87,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(counts)
             minima = np.zeros((b - a, BANDS * ROWS), np.uint64)
             s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+            spread = tk.mixed(sets)
+            parts = np.bincount(np.repeat(np.arange(b - a), counts) * PARTS + (spread >> tk.U(56)).astype(np.int64), minlength=(b - a) * PARTS)
+            parts = np.minimum(parts, FULL).astype(np.uint8).reshape(b - a, PARTS)
             if len(full):
                 lead = at[full]
                 for k in range(BANDS * ROWS):
                     minima[full, k] = np.minimum.reduceat(sets * _MULT[k] + _ADD[k], lead)
-                s1[full] = np.add.reduceat(tk.mixed(sets), lead)
+                s1[full] = np.add.reduceat(spread, lead)
                 s2[full] = np.add.reduceat(tk.mixed(sets ^ tk.U(0x5851F42D4C957F2D)), lead)
             minima = tk.mixed(minima)
             bands = np.zeros((b - a, BANDS), np.uint64)
@@ -104,14 +112,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(tk.as_long(s1)),
                     pa.array(tk.as_long(s2)),
                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(tk.as_long(bands.reshape(-1)))),
-                    pa.array([x.tobytes() for x in packed], pa.binary()),
+                    pa.array([x.tobytes() + y.tobytes() for x, y in zip(packed, parts, strict=True)], pa.binary()),
                 ],
                 ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
             )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands, sig) of (doc_id, text): h1 and h2 name the shingle set."""
+    """(doc_id, n_shingles, h1, h2, bands, sig) of (doc_id, text): h1 and h2 name the shingle set; sig holds low bits and counts."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _signatures, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
     )
@@ -128,11 +136,13 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Similarities from packed signatures (rows of bytes), corrected for fields that agree by chance."""
-    fields = BANDS * ROWS
-    differ = np.unpackbits(left ^ right, axis=1).reshape(len(left), fields, BITS).any(axis=2).sum(axis=1)
+    """Similarities from packed signatures (words of 64 bits on the last axis), corrected for fields that agree by chance."""
+    x = left ^ right
+    for _ in range(BITS - 1):
+        x = x | (x >> tk.U(1))
+    differ = np.bitwise_count(x & _LOWEST).sum(axis=-1, dtype=np.int64)
     chance = 0.5**BITS
-    return ((1 - differ / fields) - chance) / (1 - chance)
+    return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
 
 
 def estimate_floor(percent: int) -> float:
@@ -141,15 +151,75 @@ def estimate_floor(percent: int) -> float:
     return j - SIGMAS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
+def within_bound(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these counts (rows of PARTS) and sums of sizes can be similar enough; never false for a link."""
+    least = np.minimum(left, right)
+    most = least.sum(axis=1, dtype=np.int64)
+    return ((100 + percent) * most >= percent * sizes) | (least == FULL).any(axis=1)
+
+
+def _unpacked(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Low bits (as words) and counts of signatures."""
+    every = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    return np.ascontiguousarray(every[:, :-PARTS]).view(np.uint64), every[:, -PARTS:]
+
+
 def _estimated(percent: int):
     floor = estimate_floor(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)]
-                keep = pa.array(estimates(*sig) >= floor)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+                (x, cx), (y, cy) = (_unpacked(batch.column(k).to_pylist()) for k in (2, 3))
+                keep = (estimates(x, y) >= floor) & within_bound(cx, cy, batch.column(4).to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _block_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of one group's members, of different components and within reach: across its two sides, or within its only one."""
+    rep, comp, n = (rows[c].to_numpy() for c in ("rep", "comp", "n_shingles"))
+    sig, parts = _unpacked(rows["sig"].to_pylist())
+    side = rows["side"].to_numpy()
+    single = rows["i"][0].as_py() == rows["j"][0].as_py()
+    left, right = (np.arange(len(rep)),) * 2 if single else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    floor, out = estimate_floor(percent), []
+    for k in range(0, len(left), 64):
+        at = left[k : k + 64]
+        keep = (comp[at][:, None] != comp[right][None]) & ((rep[at][:, None] < rep[right][None]) if single else True)
+        r, c = np.nonzero(keep)
+        for m in range(0, len(r), 1 << 15):
+            x, y = at[r[m : m + (1 << 15)]], right[c[m : m + (1 << 15)]]
+            ok = np.flatnonzero(estimates(sig[x], sig[y]) >= floor)
+            x, y = x[ok], y[ok]
+            ok = within_bound(parts[x], parts[y], n[x] + n[y], percent)
+            out.append(np.stack([np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])]))
+    found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+
+def _compared(percent: int):
+    """Groups (key, i, j), whose rows follow each other, to pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            ids = np.stack([table[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                name = tuple(ids[a])
+                if held and name != last:
+                    yield _block_pairs(pa.concat_tables(held), percent)
+                    held = []
+                last = name
+                held.append(table.slice(a, b - a))
+        if held:
+            yield _block_pairs(pa.concat_tables(held), percent)
 
     return run
 
@@ -168,16 +238,21 @@ def _verified(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough; written."""
-    sig = reps.select("rep", "sig")
-    near = written(
-        pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose signatures are within reach; written."""
+    sig = reps.select("rep", "sig", "n_shingles")
+    return written(
+        pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
+        .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+        .filter(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
+        .select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("sizes"))
         .mapInArrow(_estimated(percent), "a long, b long"),
         "near",
     )
+
+
+def _links(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), which are dropped, those whose full sets are similar enough; written."""
     need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("doc_id", "text")
     sets = written(texts.mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
@@ -219,27 +294,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = written(members.groupBy("key").agg(F.min("ord").alias("upto")), "first")
     dropped(shared, buckets)
     members = members.join(first, "key").filter("ord > upto")
-    links = _links(members.select(F.col("upto.rep").alias("a"), F.col("ord.rep").alias("b")).distinct(), reps, docs, percent)
+    links = _links(_near(members.select(F.col("upto.rep").alias("a"), F.col("ord.rep").alias("b")).distinct(), reps, percent), docs, percent)
     labels = connected_components(links)
-    while True:
-        # Buckets of several components, and their members after the last leader.
-        placed = members.withColumn("rep", F.col("ord.rep")).join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "ord", F.coalesce("comp", "rep").alias("comp"))
-        several = written(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "several")
-        if several.isEmpty():
-            break
-        rest = written(placed.join(several, "key"), "rest")
-        order = Window.partitionBy("key").orderBy("ord")
-        leaders = written(rest.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= LEADERS).select("key", F.col("ord").alias("a"), F.col("comp").alias("ca")), "leaders")
-        pairs = rest.join(leaders, "key").filter("ord > a and comp <> ca").select(F.col("a.rep").alias("a"), F.col("ord.rep").alias("b")).distinct()
-        more = _links(pairs, reps, docs, percent)
-        if not more.isEmpty():
-            old, links = links, written(links.unionByName(more), "links")
-            dropped(old, labels)
-            labels = connected_components(links)
-        done = leaders.groupBy("key").agg(F.max("a").alias("upto"))
-        # Only the buckets of this round can need another.
-        members = written(rest.select("key", "ord").join(done, "key").filter("ord > upto").select("key", "ord"), "members")
-        dropped(rest, leaders, more, several)
+    # Buckets of several components; each pair of blocks of their members is a group.
+    placed = members.withColumn("rep", F.col("ord.rep")).join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
+    several = written(several.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "several")
+    rest = placed.join(several, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp"
+    )
+    groups = dealt.join(reps.select("rep", "n_shingles", "sig"), "rep").select("key", "i", "j", "side", "rep", "comp", "n_shingles", "sig")
+    near = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(percent), "a long, b long")
+    more = _links(written(near.distinct(), "near"), docs, percent)
+    if not more.isEmpty():
+        old, links = links, written(links.unionByName(more), "links")
+        dropped(old, labels)
+        labels = connected_components(links)
+    dropped(more, several, first)
     classes = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "n_shingles", "class_size", F.coalesce("comp", "rep").alias("comp"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
     return out.select(
