@@ -29,7 +29,7 @@ PIECE_BYTES, WORD_BYTES = 10, 40
 #: A byte outside all pieces.
 FLOOR = 1e-7
 UNKNOWN = "und"
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
@@ -206,7 +206,7 @@ def identified(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG
     Repeated rows are judged each; other columns are not looked at. A row without doc_id is judged and never learned from.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    small_batches(docs.sparkSession, 1024)
+    small_batches(docs.sparkSession)
     langs, prob = fitted(docs, path, per_lang)
     out = docs.select("doc_id", "text").mapInArrow(_predicted(langs, prob, path), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -189,8 +189,8 @@ def _block_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
         at = left[k : k + 64]
         keep = (comp[at][:, None] != comp[right][None]) & ((rep[at][:, None] < rep[right][None]) if single else True)
         r, c = np.nonzero(keep)
-        for m in range(0, len(r), 1 << 15):
-            x, y = at[r[m : m + (1 << 15)]], right[c[m : m + (1 << 15)]]
+        for m in range(0, len(r), 1 << 13):
+            x, y = at[r[m : m + (1 << 13)]], right[c[m : m + (1 << 13)]]
             ok = np.flatnonzero(estimates(sig[x], sig[y]) >= floor)
             x, y = x[ok], y[ok]
             ok = within_bound(parts[x], parts[y], n[x] + n[y], percent)

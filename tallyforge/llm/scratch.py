@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch: bounds the memory of a Python worker at a few MB of text for usual documents.
 BATCH_ROWS = 512
+#: Bytes per Arrow batch, where rows are long.
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +55,4 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
