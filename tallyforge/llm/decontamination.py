@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import small_batches, written
+from .scratch import frugal, small_batches, written
 
 WIDTH = 10
 #: Every SAMPLE-th text position has its suffix kept.
 SAMPLE = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark text sent to the executors at once; a larger benchmark is searched for in groups of items.
 GROUP_BYTES = 32 << 20
 
@@ -254,7 +254,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession, 1024)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.mapInArrow(_scan(p, False), SCHEMA) for p in _ordered(docs, benchmark)]
+    parts = [docs.mapInArrow(frugal(_scan(p, False)), SCHEMA) for p in _ordered(docs, benchmark)]
     if len(parts) == 1:
         return parts[0]
     every = parts[0]
@@ -274,7 +274,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs
     spark = docs.sparkSession
     for p in _ordered(docs, benchmark):
-        out = out.mapInArrow(_cleaner(p, out.columns), out.schema)
+        out = out.mapInArrow(frugal(_cleaner(p, out.columns)), out.schema)
     return out
 
 

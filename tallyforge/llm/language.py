@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .fit import held_out, sampled_texts
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 from .words import NOT_LETTER, Words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -208,7 +208,7 @@ def identified(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     small_batches(docs.sparkSession)
     langs, prob = fitted(docs, path, per_lang)
-    out = docs.select("doc_id", "text").mapInArrow(_predicted(langs, prob, path), "doc_id long, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(langs, prob, path)), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .components import connected_components
-from .scratch import dropped, small_batches, written
+from .scratch import dropped, frugal, small_batches, written
 
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
@@ -121,7 +121,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, bands, sig) of (doc_id, text): h1 and h2 name the shingle set; sig holds low bits and counts."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _signatures, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
+        frugal(_signatures), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
     )
 
 
@@ -246,7 +246,7 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         .join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
         .filter(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
         .select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("sizes"))
-        .mapInArrow(_estimated(percent), "a long, b long"),
+        .mapInArrow(frugal(_estimated(percent)), "a long, b long"),
         "near",
     )
 
@@ -255,12 +255,12 @@ def _links(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), which are dropped, those whose full sets are similar enough; written."""
     need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(texts.mapInArrow(_set_batches, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = written(texts.mapInArrow(frugal(_set_batches), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
     links = written(
         near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(_verified(percent), "a long, b long"),
+        .mapInArrow(frugal(_verified(percent)), "a long, b long"),
         "links",
     )
     dropped(near, sets)
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp"
     )
     groups = dealt.join(reps.select("rep", "n_shingles", "sig"), "rep").select("key", "i", "j", "side", "rep", "comp", "n_shingles", "sig")
-    near = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(percent), "a long, b long")
+    near = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(_compared(percent)), "a long, b long")
     more = _links(written(near.distinct(), "near"), docs, percent)
     if not more.isEmpty():
         old, links = links, written(links.unionByName(more), "links")

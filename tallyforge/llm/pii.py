@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed values of the base rules.
@@ -325,7 +325,7 @@ def found(docs: DataFrame) -> DataFrame:
     emit, trans = trained()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     span = "array<struct<start:int,no:int,end:int,kind:string>>"
-    return docs.mapInArrow(_found(emit, trans), f"doc_id long, base {span}, spans {span}")
+    return docs.mapInArrow(frugal(_found(emit, trans)), f"doc_id long, base {span}, spans {span}")
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +58,23 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run(batches), in a worker that gives the memory of large arrays back at once and of small ones when the task ends.
+
+    Python workers outlive their tasks, so what the allocator holds would count beside all that runs later.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            trim = libc.malloc_trim
+        except (OSError, AttributeError):  # another C library
+            trim = None
+        yield from run(batches)
+        if trim:
+            trim(0)
+
+    return wrapped

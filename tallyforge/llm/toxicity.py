@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import tokens as tk
 from .fit import held_out, sampled_texts
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 from .words import Words
 
 #: At most so many labelled texts of each label, of at most so many characters, are learned from.
@@ -131,7 +131,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Da
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = sampled_texts(docs, marks, per_label, MAX_CHARS, 2 * per_label)
     z = trained([t or "" for _, _, t in rows], [x for _, x, _ in rows])
-    out = docs.mapInArrow(_scored(z), "doc_id long, score double")
+    out = docs.mapInArrow(frugal(_scored(z)), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
