@@ -208,7 +208,8 @@ def identified(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     small_batches(docs.sparkSession)
     langs, prob = fitted(docs, path, per_lang)
-    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(langs, prob, path)), "doc_id long, lang_pred string, score double")
+    # Its many short-lived arrays would cost more to map anew than they hold.
+    out = docs.select("doc_id", "text").mapInArrow(frugal(_predicted(langs, prob, path), at_once=False), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -60,8 +60,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run(batches), in a worker that gives the memory of large arrays back at once and of small ones when the task ends.
+def frugal(run: Callable[[Iterator], Iterator], at_once: bool = True) -> Callable[[Iterator], Iterator]:
+    """run(batches), in a worker that gives memory back when the task ends, and that of large arrays at once if at_once.
 
     Python workers outlive their tasks, so what the allocator holds would count beside all that runs later.
     """
@@ -69,7 +69,8 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     def wrapped(batches: Iterator) -> Iterator:
         try:
             libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            if at_once:
+                libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
             trim = libc.malloc_trim
         except (OSError, AttributeError):  # another C library
             trim = None
