@@ -64,7 +64,9 @@ def test_near_duplicates(docs, rows, spark, edge):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(edge).collect()} == components(src)
 
 
-def test_near_duplicates_in_a_hot_bucket(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 7])
+def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     """Many texts that share a band but not enough, and chains, need the rounds after the first."""
     rng = np.random.default_rng(1)
     base = [f"b{i}" for i in range(120)]
@@ -78,6 +80,12 @@ def test_near_duplicates_in_a_hot_bucket(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == components(src)
 
 
+def test_bound_of_counts():
+    counts = np.zeros((3, near_dedup.PARTS), np.uint8)
+    counts[0, :100], counts[1, :90], counts[2, 0] = 1, 1, near_dedup.FULL
+    assert near_dedup.within_bound(counts[[0, 0, 2]], counts[[1, 1, 2]], np.array([190, 200, 10**6]), 85).tolist() == [True, False, True]
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 256, (50, near_dedup.BANDS * near_dedup.ROWS * near_dedup.BITS // 8), dtype=np.uint8)
