@@ -2,8 +2,8 @@
 
 A language gives each piece of a fixed public vocabulary a probability. A word's probability is the sum over all its
 segmentations into pieces (forward algorithm); a text's is the product over its words. Probabilities are fitted by
-expectation-maximisation (forward-backward) on a bounded sample of labelled texts. Every distinct word of a batch is
-scored once, for all languages together.
+expectation-maximisation (forward-backward) on a bounded sample of labelled texts. Distinct words are scored for all
+languages together, and a task keeps a bounded table of words it has scored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ PIECE_BYTES, WORD_BYTES = 10, 40
 FLOOR = 1e-7
 UNKNOWN = "und"
 CHUNK = 1 << 20
+#: Stretches of words scored together.
+BLOCK = 1 << 13
+#: Numbers (words times languages) that a task keeps of scored words: 8 bytes each.
+CACHE_CELLS = 1 << 20
 
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
@@ -53,24 +57,29 @@ class Pieces:
             at = np.arange(len(index)) * size
             h = tk.word_hashes(buf, at, at + size, lower=False)
             order = np.argsort(h)
-            self.tables[size] = (h[order], index[order])
-
-    def found(self, buf: np.ndarray, size: int) -> np.ndarray:
-        """At each start, the piece of that size there, or n."""
-        out = np.full(len(buf), self.n, np.int32)
-        m = len(buf) - size + 1
-        if m > 0 and size in self.tables:
-            keys, index = self.tables[size]
-            at = np.arange(m)
-            h = tk.word_hashes(buf, at, at + size, lower=False)
-            # Few keys share their first 16 bits, so a narrow search after a table look-up finds a hash.
-            first = np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << tk.U(48)).astype(np.int32)
-            slot = first[(h >> tk.U(48)).astype(np.int32)]
-            last = np.int32(len(keys) - 1)
-            for k in range(int(np.max(np.diff(np.append(first, len(keys))))) or 1):
-                s = np.minimum(slot + k, last)
-                hit = keys[s] == h
-                out[:m][hit] = index[s[hit]]
+            # Few keys share their first 16 bits: most positions end at that look-up, the others look at a few keys.
+            first = np.searchsorted(h[order], np.arange(1 << 16, dtype=np.uint64) << tk.U(48)).astype(np.int32)
+            self.tables[size] = (h[order], index[order], first, np.diff(np.append(first, len(order))))
+
+    def found(self, buf: np.ndarray) -> list[np.ndarray]:
+        """For each size up to PIECE_BYTES, the piece of that size at each start, or n."""
+        sums, scale = tk.prefix_sums(buf, lower=False)
+        out = [np.full(len(buf), self.n, np.int32) for _ in range(PIECE_BYTES + 1)]
+        for size, (keys, index, first, count) in self.tables.items():
+            m = len(buf) - size + 1
+            if m <= 0:
+                continue
+            h = tk.mixed((sums[size:] - sums[:-size]) * scale[:m])
+            slot = (h >> tk.U(48)).astype(np.int32)
+            left = np.flatnonzero(count[slot])
+            h, slot = h[left], slot[left]
+            at, last = first[slot], first[slot] + count[slot]
+            while len(left):
+                hit = keys[at] == h
+                out[size][left[hit]] = index[at[hit]]
+                at += 1
+                more = ~hit & (at < last)
+                left, h, at, last = left[more], h[more], at[more], last[more]
         return out
 
 
@@ -93,20 +102,27 @@ def _by_length(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def word_log_probabilities(buf: np.ndarray, start: np.ndarray, length: np.ndarray, own: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log probabilities (words x languages); prob: (pieces + 1) x languages, its last row zero."""
     at, size, word = _stretches(start, length)
-    found = {w: own.found(buf, w) for w in range(1, PIECE_BYTES + 1)}
-    out = np.zeros((len(at), prob.shape[1]))
-    for n, group in _by_length(size):
-        alpha = np.zeros((n + 1, len(group), prob.shape[1]))
+    found = own.found(buf)
+    out = np.ones((len(at), prob.shape[1]))
+    order = np.argsort(-size, kind="stable")
+    ring = PIECE_BYTES + 1
+    for k in range(0, len(order), BLOCK):
+        # All stretches of a block step through their bytes together, the shorter ones leave first.
+        group = order[k : k + BLOCK]
+        lead, less = at[group], -size[group]
+        alpha = np.zeros((ring, len(group), prob.shape[1]))
         alpha[0] = 1
-        lead = at[group]
-        for j in range(1, n + 1):
-            alpha[j] = alpha[j - 1] * FLOOR
+        for j in range(1, -int(less[0]) + 1):
+            longer, m = np.searchsorted(less, [-j, -j + 1])
+            now = alpha[(j - 1) % ring, :m] * FLOOR
             for w in range(1, min(j, PIECE_BYTES) + 1):
-                piece = found[w][lead + j - w]
+                piece = found[w][lead[:m] + (j - w)]
                 hit = np.flatnonzero(piece < own.n)
                 if len(hit):
-                    alpha[j, hit] += alpha[j - w, hit] * prob[piece[hit]]
-        out[group] = np.log(alpha[n])
+                    now[hit] += alpha[(j - w) % ring, hit] * prob[piece[hit]]
+            alpha[j % ring, :m] = now
+            out[group[longer:m]] = now[longer:]
+    out = np.log(out)
     total = np.zeros((len(length), prob.shape[1]))
     np.add.at(total, word, out)
     return total
@@ -115,7 +131,7 @@ def word_log_probabilities(buf: np.ndarray, start: np.ndarray, length: np.ndarra
 def _expected(buf, start, length, weight, own: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the weighted words (forward-backward)."""
     at, size, word = _stretches(start, length)
-    found = {w: own.found(buf, w) for w in range(1, PIECE_BYTES + 1)}
+    found = own.found(buf)
     out = np.zeros(own.n + 1)
     for n, group in _by_length(size):
         lead = at[group]
@@ -164,19 +180,50 @@ def trained(texts: list[tuple[str, str]], own: Pieces) -> tuple[list[str], np.nd
     return langs, prob
 
 
+class Scored:
+    """Log probabilities of words that a task has met, by hash, so that frequent words are scored once a task.
+
+    Bounded: a table beyond CACHE_CELLS numbers makes room by starting again with the newest chunk's words.
+    """
+
+    def __init__(self, own: Pieces, prob: np.ndarray, cells: int = CACHE_CELLS):
+        self.own, self.prob, self.most = own, prob, cells // max(prob.shape[1], 1)
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, prob.shape[1]))
+
+    def of(self, words: Words) -> np.ndarray:
+        """A row for each distinct word; words.hashes are sorted."""
+        out = np.zeros((len(words.length), self.prob.shape[1]))
+        at = np.searchsorted(self.keys, words.hashes)
+        known = np.zeros(len(at), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == words.hashes
+        out[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            size = words.length[new]
+            start = np.cumsum(size) - size
+            buf = words.buf[np.repeat(words.start[new], size) + tk.ramp(size)]
+            out[new] = word_log_probabilities(buf, start, size, self.own, self.prob)
+            if len(self.keys) + len(new) <= self.most:
+                self.keys, self.values = np.insert(self.keys, at[new], words.hashes[new]), np.insert(self.values, at[new], out[new], axis=0)
+            elif len(out) <= self.most:
+                self.keys, self.values = words.hashes, out
+        return out
+
+
 def _has_letter(text: bytes) -> bool:
     return any(ch.isalpha() for ch in text.decode("utf-8", "replace"))
 
 
 def _predicted(langs: list[str], prob: np.ndarray, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(pieces(path))
+        scored = Scored(Pieces(pieces(path)), prob)
         for batch in batches:
             buf, off = tk.buffer_of(batch.column(1))
             for a, b in tk.chunks(off, CHUNK):
                 part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 words = Words(part, at)
-                score = words.doc_sums(word_log_probabilities(words.buf, words.start, words.length, own, prob)) if langs and len(words.length) else np.zeros((b - a, len(langs)))
+                score = words.doc_sums(scored.of(words)) if langs and len(words.length) else np.zeros((b - a, len(langs)))
                 ascii_letters = np.concatenate([[0], np.cumsum(((part | 32) >= 97) & ((part | 32) <= 122))])
                 some = ascii_letters[at[1:]] > ascii_letters[at[:-1]]
                 for i in np.flatnonzero(~some & (np.diff(words.at) > 0)):

@@ -104,13 +104,19 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hashes of words; with lower, A-Z count as a-z."""
+def prefix_sums(buf: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the bytes before each position, and the factors that make stretches comparable wherever they start."""
     sums = np.zeros(len(buf) + 1, U)
     values = (_BYTE_LOWER if lower else _BYTE)[buf]
     values *= powers(_P, len(buf))
     np.cumsum(values, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(inverse(_P), len(buf) + 1)[starts])
+    return sums, powers(inverse(_P), len(buf) + 1)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of words; with lower, A-Z count as a-z."""
+    sums, scale = prefix_sums(buf, lower)
+    return mixed((sums[ends] - sums[starts]) * scale[starts])
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
