@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import assessment as asm
 from ..operators import evaluation as ev
 from ..operators import governance as gv
 from ..operators import ordered as od
@@ -309,3 +310,54 @@ def ml1(spark, d):
     c = e.withColumn("candidates", F.transform(digits, lambda i: F.struct(i.alias("label"), F.floor(F.abs(F.element_at("embedding", (i + 1).cast("int")).cast("double")) * 1000).cast("double").alias("probability"))))
     c = c.withColumn("allowed", F.filter(digits, lambda i: (F.col("vec_id") + i) % 3 != 0))
     return rc.constrained(c).select("vec_id", "value", "value_confidence", "value_status")
+
+
+# Records of the core-field assessment; SQL that Spark and DuckDB read alike.
+CORE = {
+    "teams": "SELECT DISTINCT document_id, side, CASE WHEN document_id % 9 = 0 THEN NULL ELSE 'team' END AS name, CASE document_id % 3 WHEN 0 THEN 'review' ELSE 'accepted' END AS roster_status, CASE WHEN document_id % 5 < 2 THEN NULL ELSE document_id % 7 END AS final_score, CASE WHEN document_id % 5 = 0 THEN NULL ELSE document_id % 7 END AS final_candidate, CASE document_id % 4 WHEN 0 THEN 'review' ELSE 'accepted' END AS final_status FROM {players} b WHERE NOT (side = 'B' AND document_id % 10 = 0)",
+    "players": "SELECT document_id, side, CASE WHEN document_id % 6 = 0 AND row_no = 3 THEN 'review' WHEN document_id % 8 = 0 AND row_no = 1 THEN 'unresolved' ELSE 'accepted' END AS participation_status, 'accepted' AS starter_status, starter FROM {players} b WHERE document_id % 12 <> 5",
+    "fouls": "SELECT document_id, side, CASE WHEN symbol = 'F' THEN 'review' ELSE 'accepted' END AS status FROM {foul_cells} b",
+    "events": "SELECT document_id, side, CASE WHEN jersey IS NULL THEN 'unresolved' WHEN ink_color = 'unknown' THEN 'review' ELSE 'accepted' END AS status FROM {scoring_events} b WHERE document_id % 4 <> 0",
+    "team_fouls": "SELECT document_id, side, period FROM {team_foul_cells} b WHERE kind = 'x'",
+    "periods": "SELECT document_id, side, period, CASE WHEN document_id % 8 = 4 THEN 0 ELSE value END AS written, CASE WHEN document_id % 2 = 0 THEN 1 ELSE value END AS candidate, CASE WHEN document_id % 3 = 0 THEN status ELSE 'accepted' END AS status FROM {written_scores} b",
+}
+_SIDES = ("scoring_events", "players", "foul_cells", "team_foul_cells", "written_scores")
+_CORE_SQL = {k: "(" + v.format(**{n: bridge_sql(n) for n in _SIDES}) + ")" for k, v in CORE.items()}
+_RANK = "MAX(CASE status WHEN 'unresolved' THEN 2 WHEN 'review' THEN 1 ELSE 0 END)"
+_OPEN = "CASE {0} WHEN 0 THEN 'accepted' WHEN 1 THEN 'review' ELSE 'unresolved' END"
+CORE_FIELDS = f"""WITH s AS (SELECT document_id, side FROM (SELECT DISTINCT document_id FROM {PL} b) d, (SELECT UNNEST(['A', 'B']) AS side) x),
+p AS (SELECT document_id, side, {_RANK.replace('status', 'participation_status')} AS played, {_RANK.replace('status', 'starter_status')} AS started, COUNT(*) FILTER (WHERE starter) AS starters FROM {_CORE_SQL['players']} q GROUP BY 1, 2),
+f AS (SELECT document_id, side, {_RANK} AS v FROM {_CORE_SQL['fouls']} q GROUP BY 1, 2), e AS (SELECT document_id, side, {_RANK} AS v FROM {_CORE_SQL['events']} q GROUP BY 1, 2),
+t AS (SELECT document_id, side, COUNT(DISTINCT period) AS n FROM {_CORE_SQL['team_fouls']} q WHERE period <= 4 GROUP BY 1, 2),
+w AS (SELECT document_id, side, COUNT(written) AS nw, COUNT(candidate) AS nc, {_RANK} AS v, COUNT(*) FILTER (WHERE written = 0) AS zeros FROM {_CORE_SQL['periods']} q WHERE period <= 4 GROUP BY 1, 2),
+j AS (SELECT s.document_id, s.side, m.document_id IS NULL AS gone, m.name, m.roster_status, m.final_score, m.final_candidate, m.final_status, p.document_id IS NOT NULL AS listed, played, started, COALESCE(starters, 0) AS starters,
+  COALESCE(f.v, 0) AS foul, e.v AS scored, COALESCE(t.n, 0) AS boxes, COALESCE(nw, 0) AS nw, COALESCE(nc, 0) AS nc, w.v AS wrote, zeros
+  FROM s LEFT JOIN {_CORE_SQL['teams']} m USING (document_id, side) LEFT JOIN p USING (document_id, side) LEFT JOIN f USING (document_id, side) LEFT JOIN e USING (document_id, side) LEFT JOIN t USING (document_id, side) LEFT JOIN w USING (document_id, side)),
+r AS (SELECT *, CASE roster_status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 ELSE 2 END AS ro, CASE final_status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 ELSE 2 END AS fi FROM j),
+x AS (SELECT document_id, side, gone, starters, 1 AS pos, 'name' AS field, CASE WHEN name IS NULL THEN 2 ELSE 0 END AS v FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 2, 'players', CASE WHEN listed THEN ro ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 3, 'participation', CASE WHEN listed THEN played ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 4, 'starters', CASE WHEN NOT listed THEN 2 WHEN starters <> 5 THEN GREATEST(started, 1) ELSE started END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 5, 'period_scoring', CASE WHEN nw = 4 THEN wrote WHEN nc = 4 THEN GREATEST(wrote, 1) ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 6, 'scoring_events', CASE WHEN scored IS NOT NULL THEN scored WHEN final_score = 0 AND nw = 4 AND zeros = 4 THEN 0 ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 7, 'individual_fouls', CASE WHEN listed THEN foul ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 8, 'team_fouls', CASE WHEN boxes = 4 THEN 0 ELSE 2 END FROM r
+  UNION ALL SELECT document_id, side, gone, starters, 9, 'final_score', CASE WHEN final_score IS NOT NULL THEN fi WHEN final_candidate IS NOT NULL THEN GREATEST(fi, 1) ELSE 2 END FROM r),
+y AS (SELECT *, CASE WHEN gone THEN 2 ELSE v END AS u FROM x)
+SELECT document_id, side, CAST(pos AS BIGINT) AS pos, 'teams.' || side || '.' || field AS path, {_OPEN.format('u')} AS status, CASE WHEN gone THEN '{asm.MISSING}' WHEN u = 0 THEN NULL ELSE CASE pos
+  {' '.join(f"WHEN {k + 1} THEN " + ("replace('" + t + "', '%d', CAST(starters AS VARCHAR))" if '%d' in t else f"'{t}'") for k, t in enumerate(asm.REASONS.values()))} END END AS reason FROM y"""
+
+
+def core_tables(spark, d) -> dict[str, DataFrame]:
+    seen = {n: bridge(spark, d, n) for n in _SIDES}
+    return {k: spark.sql(v, **{n: seen[n] for n in _SIDES if "{" + n + "}" in v}) for k, v in CORE.items()}
+
+
+@query("core_fields", CORE_FIELDS)
+def core_fields(spark, d):
+    return asm.core_fields(bridge(spark, d, "players").select("document_id"), **core_tables(spark, d))
+
+
+@query("core_document_status", f"SELECT document_id, {_OPEN.format('MAX(z)')} AS status, COUNT(*) FILTER (WHERE z > 0) AS n_open FROM (SELECT document_id, CASE status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 ELSE 2 END AS z FROM ({CORE_FIELDS}) c) k GROUP BY document_id")
+def core_document_status(spark, d):
+    return asm.document_status(core_fields(spark, d))

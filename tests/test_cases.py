@@ -107,3 +107,19 @@ def test_scalars(spark):
         sc.pixel_box(F.lit(0.25), F.lit(0.5), F.lit(0.5), F.lit(0.25), F.lit(10), F.lit(5)).alias("box"), sc.anonymous_writer(F.lit("  ")).alias("none"), sc.crop_id(F.lit("d"), F.lit("t"), F.lit(None)).alias("crop"),
         sc.number_in(F.lit(" 12 ")).alias("n"), sc.number_in(F.lit("120")).alias("big"), sc.shot(F.lit("field_goal"), F.lit(True)).alias("shot"), sc.capture_condition(F.lit("PDF")).alias("c")).first()
     assert (r.box, r.none, len(r.crop), r.n, r.big, tuple(r.shot), r.c) == ([2, 2, 8, 4], None, 20, 12, None, ("three_point", 3), "pdf_scan")
+
+
+def test_core_fields_of_missing_sides(spark):
+    from tallyforge.operators import assessment as asm
+
+    def empty(columns):
+        return spark.createDataFrame([], "document_id long, side string, " + columns)
+
+    docs = spark.createDataFrame([(1,)], "document_id long")
+    teams = spark.createDataFrame([(1, "A", "x", "accepted", 0, None, "accepted")], "document_id long, side string, name string, roster_status string, final_score long, final_candidate long, final_status string")
+    periods = spark.createDataFrame([(1, "A", p, 0, None, "accepted") for p in (1, 2, 3, 4)], "document_id long, side string, period long, written long, candidate long, status string")
+    got = asm.core_fields(docs, teams, empty("participation_status string, starter_status string, starter boolean"), empty("status string"), empty("status string"), empty("period long"), periods).collect()
+    assert len(got) == 18 and {r.reason for r in got if r.side == "B"} == {asm.MISSING}
+    side = {r.path.split(".")[2]: r.status for r in got if r.side == "A"}
+    assert [k for k, s in side.items() if s == "accepted"] == ["name", "period_scoring", "scoring_events", "final_score"]
+    assert {r.reason for r in got if r.path == "teams.A.starters"} == {"starter evidence requires review; detected 0 starters"}
