@@ -15,9 +15,13 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(known, "doc_id", "left_semi").filter(F.col("text").isNotNull())
 
 
+#: Near-duplicates of the corpus: similarity of five-word shingle sets in percent, wider than op2's own threshold.
+NEAR_PERCENT = 80
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id")
+    """The document with the smallest id of each group of documents linked at NEAR_PERCENT or more."""
+    kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

@@ -13,6 +13,7 @@ different components that are within reach.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,11 @@ from .scratch import dropped, frugal, small_batches, written
 SHINGLE = 5
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: BANDS * ROWS minima: a pair at similarity 0.85 shares no band with probability (1 - 0.85 ** 8) ** 40 = 3e-6. Long
-#: bands keep texts that share only a common passage apart: at similarity 0.4 a pair shares one with 3 %.
-BANDS, ROWS, BITS = 40, 8, 2
+#: Minima in a band, and low bits kept of each. Long bands keep texts that share only a common passage apart: at
+#: similarity 0.4 a pair shares one of 40 with 3 %.
+ROWS, BITS = 8, 2
+#: A pair at the threshold shares no band with at most this probability.
+MISS = 1e-5
 #: Estimates this far (standard errors) below the threshold are not verified: a true link is lost with 1e-7.
 SIGMAS = 5.2
 #: Shingles are counted by that many values of a byte of their hashes; a count stops at FULL, and then bounds nothing.
@@ -37,13 +40,25 @@ PARTS, FULL = 256, 255
 #: Members of a block of a bucket; a task holds two blocks, of some 0.4 KB a member.
 BLOCK = 512
 
-_rng = np.random.default_rng(20)
-_MULT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 #: The lowest bit of each field of a packed word.
 _LOWEST = np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2))
 
 
+def bands_for(percent: int) -> int:
+    """The least number of bands that keeps to MISS at this threshold, their low bits filling words of 64: 40 at 85, 64 at 80."""
+    per_word = 64 // (ROWS * BITS)
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)) / per_word) * per_word if percent < 100 else per_word
+
+
+#: Bands at PERCENT.
+BANDS = bands_for(PERCENT)
+
+
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
 def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each row, and offsets into them; a row of fewer words is one shingle."""
     starts, ends, at = tk.word_spans(buf, offsets, tk.BLANK)
@@ -77,51 +92,57 @@ def distinct_sets(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), out_at
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, off = tk.buffer_of(batch.column(1))
-        for a, b in tk.chunks(off):
-            hashes, at = shingle_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            sets, at = distinct_sets(hashes, at)
-            counts = np.diff(at)
-            full = np.flatnonzero(counts)
-            minima = np.zeros((b - a, BANDS * ROWS), np.uint64)
-            s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-            spread = tk.mixed(sets)
-            parts = np.bincount(np.repeat(np.arange(b - a), counts) * PARTS + (spread >> tk.U(56)).astype(np.int64), minlength=(b - a) * PARTS)
-            parts = np.minimum(parts, FULL).astype(np.uint8).reshape(b - a, PARTS)
-            if len(full):
-                lead = at[full]
-                for k in range(BANDS * ROWS):
-                    minima[full, k] = np.minimum.reduceat(sets * _MULT[k] + _ADD[k], lead)
-                s1[full] = np.add.reduceat(spread, lead)
-                s2[full] = np.add.reduceat(tk.mixed(sets ^ tk.U(0x5851F42D4C957F2D)), lead)
-            minima = tk.mixed(minima)
-            bands = np.zeros((b - a, BANDS), np.uint64)
-            for j in range(BANDS):
-                h = np.full(b - a, j + 1, np.uint64)
-                for k in range(j * ROWS, (j + 1) * ROWS):
-                    h = tk.mixed(h * tk.U(0xD1342543DE82EF95) + minima[:, k])
-                bands[:, j] = h
-            low = (minima & tk.U((1 << BITS) - 1)).astype(np.uint8)
-            packed = np.packbits(((low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(b - a, -1), axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a),
-                    pa.array(counts.astype(np.int64)),
-                    pa.array(tk.as_long(s1)),
-                    pa.array(tk.as_long(s2)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(tk.as_long(bands.reshape(-1)))),
-                    pa.array([x.tobytes() + y.tobytes() for x, y in zip(packed, parts, strict=True)], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
-            )
+def _signatures(bands: int):
+    n_minima = bands * ROWS
+    mult, add = _permutations(n_minima)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.buffer_of(batch.column(1))
+            for a, b in tk.chunks(off):
+                hashes, at = shingle_hashes(buf[off[a] : off[b]], off[a : b + 1] - off[a])
+                sets, at = distinct_sets(hashes, at)
+                counts = np.diff(at)
+                full = np.flatnonzero(counts)
+                minima = np.zeros((b - a, n_minima), np.uint64)
+                s1, s2 = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                spread = tk.mixed(sets)
+                parts = np.bincount(np.repeat(np.arange(b - a), counts) * PARTS + (spread >> tk.U(56)).astype(np.int64), minlength=(b - a) * PARTS)
+                parts = np.minimum(parts, FULL).astype(np.uint8).reshape(b - a, PARTS)
+                if len(full):
+                    lead = at[full]
+                    for k in range(n_minima):
+                        minima[full, k] = np.minimum.reduceat(sets * mult[k] + add[k], lead)
+                    s1[full] = np.add.reduceat(spread, lead)
+                    s2[full] = np.add.reduceat(tk.mixed(sets ^ tk.U(0x5851F42D4C957F2D)), lead)
+                minima = tk.mixed(minima)
+                keys = np.zeros((b - a, bands), np.uint64)
+                for j in range(bands):
+                    h = np.full(b - a, j + 1, np.uint64)
+                    for k in range(j * ROWS, (j + 1) * ROWS):
+                        h = tk.mixed(h * tk.U(0xD1342543DE82EF95) + minima[:, k])
+                    keys[:, j] = h
+                low = (minima & tk.U((1 << BITS) - 1)).astype(np.uint8)
+                packed = np.packbits(((low[:, :, None] >> np.arange(BITS, dtype=np.uint8)) & 1).reshape(b - a, -1), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(counts.astype(np.int64)),
+                        pa.array(tk.as_long(s1)),
+                        pa.array(tk.as_long(s2)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(tk.as_long(keys.reshape(-1)))),
+                        pa.array([x.tobytes() + y.tobytes() for x, y in zip(packed, parts, strict=True)], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "h1", "h2", "bands", "sig"],
+                )
+
+    return run
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, h1, h2, bands, sig) of (doc_id, text): h1 and h2 name the shingle set; sig holds low bits and counts."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        frugal(_signatures), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
+        frugal(_signatures(bands_for(percent))), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sig binary"
     )
 
 
@@ -142,13 +163,13 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         x = x | (x >> tk.U(1))
     differ = np.bitwise_count(x & _LOWEST).sum(axis=-1, dtype=np.int64)
     chance = 0.5**BITS
-    return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
+    return ((1 - differ / (left.shape[-1] * left.itemsize * 8 // BITS)) - chance) / (1 - chance)
 
 
 def estimate_floor(percent: int) -> float:
     j, chance = percent / 100, 0.5**BITS
     p = j + (1 - j) * chance
-    return j - SIGMAS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+    return j - SIGMAS * (p * (1 - p) / (bands_for(percent) * ROWS)) ** 0.5 / (1 - chance)
 
 
 def within_bound(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -276,7 +297,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    every = written(signatures(docs).dropDuplicates(["doc_id"]), "signatures")
+    every = written(signatures(docs, percent).dropDuplicates(["doc_id"]), "signatures")
     # A class holds the texts of one shingle set; equal sets have equal bands and signatures.
     reps = written(
         every.filter("n_shingles > 0")
