@@ -174,6 +174,15 @@ def occurrences(ids: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.n
     return phrase, where[index.locate(np.repeat(lo, count) + tk.ramp(count))]
 
 
+def _without(raw: bytes, cuts: list[tuple[int, int]]) -> str:
+    """The text of raw but for these byte ranges, which are in order."""
+    kept, done = [], 0
+    for x, y in cuts:
+        kept.append(raw[done:x])
+        done = y
+    return b"".join([*kept, raw[done:]]).decode("utf-8", "replace")
+
+
 def _scan(phrases: Phrases | None, clean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +226,8 @@ def _scan(phrases: Phrases | None, clean: bool):
                     texts = batch.column(1).slice(a, b - a).to_pylist()
                     base = off[a : b + 1] - off[a]
                     for d in np.flatnonzero(np.diff(span_at)):
-                        kept, done, raw = [], 0, part[base[d] : base[d + 1]].tobytes()
-                        for x, y in zip(lead[span_at[d] : span_at[d + 1]], tail[span_at[d] : span_at[d + 1]], strict=True):
-                            kept.append(raw[done : starts[x] - base[d]])
-                            done = ends[y - 1] - base[d]
-                        texts[d] = b"".join([*kept, raw[done:]]).decode("utf-8", "replace")
+                        words = zip(lead[span_at[d] : span_at[d + 1]], tail[span_at[d] : span_at[d + 1]], strict=True)
+                        texts[d] = _without(part[base[d] : base[d + 1]].tobytes(), [(starts[x] - base[d], ends[y - 1] - base[d]) for x, y in words])
                     cols.append(pa.array(texts, pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(cols, names)
@@ -245,37 +251,71 @@ def _ordered(docs: DataFrame, benchmark: DataFrame):
         yield phrases_of(rows)
 
 
+#: Overlapping and touching spans of several groups as one.
+MERGED = """aggregate(s, cast(array() as array<struct<first:bigint,end:bigint>>), (acc, x) ->
+        if(size(acc) > 0 and element_at(acc, -1).end >= x.first,
+           concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(element_at(acc, -1).end, x.end)))),
+           concat(acc, array(x))))"""
+
+
+def _found_in_groups(docs: DataFrame, groups: list[Phrases | None]) -> tuple[DataFrame, DataFrame]:
+    """(row, docs' columns), written, and (row, n_words, spans, items): each group is searched for in the text as it was given."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given")), "rows")
+    texts = rows.select("_row", F.col("_given.text").cast("string").alias("text"))
+    every = None
+    for p in groups:
+        part = texts.mapInArrow(frugal(_scan(p, False)), SCHEMA)
+        every = part if every is None else every.unionByName(part)
+    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows, every.select(F.col("doc_id").alias("_row"), "n_words", F.expr(MERGED).alias("spans"), "items")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, items) for every row of docs(doc_id, text, ...); benchmark: (item_id, text, ...).
 
     spans: merged word ranges inside occurrences of windows; items: ids of items with an occurring window. Null and
     empty texts have no words. An item without words or id has no window; items with equal ids count once. Repeated
-    rows of docs are judged each, but with a benchmark of several groups they appear once. Other columns are not looked at.
+    rows of docs, and rows without doc_id, are judged each. Other columns are not looked at.
     """
     small_batches(docs.sparkSession, 1024)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [docs.mapInArrow(frugal(_scan(p, False)), SCHEMA) for p in _ordered(docs, benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    merged = F.expr("""aggregate(s, cast(array() as array<struct<first:bigint,end:bigint>>), (acc, x) ->
-        if(size(acc) > 0 and element_at(acc, -1).end >= x.first,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'end', greatest(element_at(acc, -1).end, x.end)))),
-           concat(acc, array(x))))""")
-    return every.select("doc_id", "n_words", merged.alias("spans"), "items")
+    groups = list(_ordered(docs, benchmark))
+    if len(groups) == 1:
+        return docs.mapInArrow(frugal(_scan(groups[0], False)), SCHEMA)
+    rows, found = _found_in_groups(docs, groups)
+    return rows.select("_row", "_given.doc_id").join(found, "_row").select("doc_id", "n_words", "spans", "items")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with every span of hit words cut from the text, and how many words went (n_hit); other columns stay."""
+    """docs with every span that contaminated finds cut from the text; other columns stay."""
     small_batches(docs.sparkSession, 1024)
-    out = docs
-    spark = docs.sparkSession
-    for p in _ordered(docs, benchmark):
-        out = out.mapInArrow(frugal(_cleaner(p, out.columns)), out.schema)
-    return out
+    groups = list(_ordered(docs, benchmark))
+    if len(groups) == 1:
+        return docs.mapInArrow(frugal(_cleaner(groups[0], docs.columns)), docs.schema)
+    rows, found = _found_in_groups(docs, groups)
+    marked = rows.join(found.select("_row", "spans"), "_row").select("_given.*", F.col("spans").alias("_spans"))
+    return marked.mapInArrow(frugal(_cutter(docs.columns)), docs.schema)
+
+
+def _cutter(columns: list[str]):
+    """Cuts the word ranges of the last column, spans, from the text."""
+    t = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buf, off = tk.buffer_of(batch.column(t))
+            texts, spans = batch.column(t).to_pylist(), batch.column(len(columns)).to_pylist()
+            for a, b in tk.chunks(off, SHARD_BYTES):
+                part, base = buf[off[a] : off[b]], off[a : b + 1] - off[a]
+                starts, ends, at = tk.word_spans(part, base, tk.NOT_ALNUM)
+                for d in range(b - a):
+                    if spans[a + d]:
+                        texts[a + d] = _without(part[base[d] : base[d + 1]].tobytes(), [(starts[at[d] + x["first"]] - base[d], ends[at[d] + x["end"] - 1] - base[d]) for x in spans[a + d]])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == t else batch.column(k) for k in range(len(columns))], columns)
+
+    return run
 
 
 def _cleaner(phrases: Phrases | None, columns: list[str]):

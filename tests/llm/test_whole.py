@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tallyforge.llm import near_dedup
+from tallyforge.llm import decontamination, near_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,3 +37,23 @@ def test_near_stage_links_at_80(spark):
 def test_bands_for_the_threshold(percent):
     n = near_dedup.bands_for(percent)
     assert (1 - (percent / 100) ** near_dedup.ROWS) ** n <= 1e-5 and n * near_dedup.ROWS * near_dedup.BITS % 64 == 0
+
+
+def test_benchmark_of_several_groups(spark, monkeypatch):
+    """Items that overlap in the text, repeated ids and rows without one: as many groups as wanted change nothing."""
+    long = [f"w{k}" for k in range(60)]
+    items = [(i, " ".join(long[3 * i : 3 * i + 14])) for i in range(12)] + [(20, "a0 a1 a2 a3 a4 b0 b1 b2 b3 b4"), (21, "only two"), (22, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # Where "only two" is cut, words meet that are a window of item 20 but never stood side by side.
+    apart = "a0 a1 a2 a3 a4 only two b0 b1 b2 b3 b4"
+    src = [(1, "x " + " ".join(long) + " y", "en"), (1, apart, "de"), (None, " ".join(long[:20]) + ", and more", "en"), (None, apart, None), (2, None, "en"), (3, "", "en"), (4, "Clean text.", "en")]
+    docs = spark.createDataFrame(src, "doc_id long, text string, lang string")
+    key = lambda r: str(tuple(r))
+    found = lambda: sorted(decontamination.contaminated(docs, bench).collect(), key=key)
+    left = lambda: sorted((tuple(r) for r in decontamination.cleaned(docs, bench).collect()), key=str)
+    one, rest = found(), left()
+    assert len(one) == len(rest) == len(src) and (1, "a0 a1 a2 a3 a4  b0 b1 b2 b3 b4", "de") in rest
+    for size in (300, 60, 20):
+        monkeypatch.setattr(decontamination, "GROUP_BYTES", size)
+        assert len(decontamination._groups(bench)) >= 2
+        assert found() == one and left() == rest
