@@ -39,8 +39,8 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mixed(docs)
+    """(shard, place, doc_id, text): the mixed corpus, whole copies and drawn blocks, shuffled within shards."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [("language", keep_identified), ("near_dedup", keep_one_of_each_group), ("decontamination", cut_benchmark), ("secrets", cut_secrets), ("mixing", mix)]

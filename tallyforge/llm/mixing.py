@@ -134,9 +134,12 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     copies = copies.select("doc_id", F.pmod(F.xxhash64(F.lit(SEED + 4), "doc_id", "copy"), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 5), "doc_id", "copy").alias("place"), F.lit(0).cast("long").alias("first_word"), "words")
     parts = copies.unionByName(drawn.drop("block"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    texts = texts.join(parts.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.regexp_count("text", F.lit(WORD)), F.col("text"))).alias("text"))
+    texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.regexp_count("text", F.lit(WORD)), F.col("text"))).alias("text"))
     words = F.filter(F.split(F.col("text"), r"[ \t-\r]+"), lambda w: F.length(w) > 0)
-    out = parts.join(texts, "doc_id").select("shard", "place", "doc_id", F.array_join(F.slice(words, F.col("first_word").cast("int") + 1, F.col("words").cast("int")), " ").alias("text"))
+    # A text is split once, for all of its parts: the array of one array binds its words.
+    own = parts.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "place", F.col("first_word").cast("int").alias("first_word"), F.col("words").cast("int").alias("words"))).alias("parts"))
+    cut = F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.struct(p["shard"].alias("shard"), p["place"].alias("place"), F.array_join(F.slice(w, p["first_word"] + 1, p["words"]), " ").alias("text"))))[0]
+    out = own.join(texts, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("p.shard", "p.place", "doc_id", "p.text")
     return out.repartition(F.col("shard"), F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
 
 

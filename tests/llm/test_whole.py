@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tallyforge.llm import decontamination, near_dedup
+from tallyforge.llm import decontamination, mixing, near_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,3 +57,16 @@ def test_benchmark_of_several_groups(spark, monkeypatch):
         monkeypatch.setattr(decontamination, "GROUP_BYTES", size)
         assert len(decontamination._groups(bench)) >= 2
         assert found() == one and left() == rest
+
+
+def test_mixing_stage_gives_texts(spark):
+    """The last stage's rows are passages of the texts it was given, as many words of each as the plan says."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).cache()
+    out = cp.mix(spark, docs, DATA)
+    assert out.columns == ["shard", "place", "doc_id", "text"]
+    got, given = out.collect(), {r.doc_id: " " + " ".join(r.text.split()) + " " for r in docs.collect() if r.text}
+    taken: dict[int, int] = {}
+    for r in got:
+        assert f" {r.text} " in given[r.doc_id]
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split(" "))
+    assert taken == {r.doc_id: r.taken for r in mixing.mixed(docs).collect() if r.taken}
