@@ -10,9 +10,8 @@ from tallyforge.llm.scratch import dropped, written
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null texts and texts without a letter go. lang stays as it was given."""
-    known = language.identified(docs).filter(F.col("lang_pred") != language.UNKNOWN).select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").filter(F.col("text").isNotNull())
+    """Rows whose language is known, each judged by its own text; null texts and texts without a letter go. lang stays as it was given."""
+    return language.with_language(docs).filter((F.col("lang_pred") != language.UNKNOWN) & F.col("text").isNotNull()).select(*docs.columns)
 
 
 #: Near-duplicates of the corpus: similarity of five-word shingle sets in percent, wider than op2's own threshold.
@@ -20,7 +19,7 @@ NEAR_PERCENT = 80
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of documents linked at NEAR_PERCENT or more."""
+    """The document with the smallest id of each group of documents linked at NEAR_PERCENT or more; rows without doc_id, which the mix could not draw, go."""
     kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import tokens as tk
 from .fit import held_out, sampled_texts
@@ -215,11 +216,13 @@ def _has_letter(text: bytes) -> bool:
     return any(ch.isalpha() for ch in text.decode("utf-8", "replace"))
 
 
-def _predicted(langs: list[str], prob: np.ndarray, path: str):
+def _predicted(langs: list[str], prob: np.ndarray, path: str, text: int = 1, kept: tuple[int, ...] = (0,), names: tuple[str, ...] = ("doc_id",)):
+    """The kept columns, with the verdict on column text beside them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = Scored(Pieces(pieces(path)), prob)
         for batch in batches:
-            buf, off = tk.buffer_of(batch.column(1))
+            buf, off = tk.buffer_of(batch.column(text))
             for a, b in tk.chunks(off, CHUNK):
                 part, at = buf[off[a] : off[b]], off[a : b + 1] - off[a]
                 words = Words(part, at)
@@ -236,7 +239,7 @@ def _predicted(langs: list[str], prob: np.ndarray, path: str):
                     value = np.where(some, post.max(axis=1), 0.0)
                 else:
                     pred, value = [UNKNOWN] * (b - a), np.zeros(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(value)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in kept), pa.array(pred, pa.string()), pa.array(value)], [*names, "lang_pred", "score"])
 
     return run
 
@@ -260,6 +263,15 @@ def identified(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def with_language(docs: DataFrame, path: str = VOCABULARY, per_lang: int = PER_LANG) -> DataFrame:
+    """docs(doc_id, text, lang, ...) with lang_pred and score as in identified beside each row; all columns stay."""
+    small_batches(docs.sparkSession)
+    langs, prob = fitted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), path, per_lang)
+    names = tuple(docs.columns)
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(frugal(_predicted(langs, prob, path, names.index("text"), tuple(range(len(names))), names), at_once=False), schema)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     """identified over the whole documents table."""
     return identified(spark.read.parquet(f"{sf_dir}/documents.parquet"))

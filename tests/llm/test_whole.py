@@ -70,3 +70,14 @@ def test_mixing_stage_gives_texts(spark):
         assert f" {r.text} " in given[r.doc_id]
         taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split(" "))
     assert taken == {r.doc_id: r.taken for r in mixing.mixed(docs).collect() if r.taken}
+
+
+def test_language_stage_judges_rows(spark):
+    """A row without doc_id stays if its language is known; a row of a repeated doc_id is judged by its own text."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source").limit(150)
+    more = [(None, "A plain English sentence without an id.", "en", "s"), (-1, "Another plain sentence.", "en", "s"), (-1, "12 34 ...", "en", "s"), (None, "!!", None, None), (-2, None, "en", "s")]
+    out = cp.keep_identified(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), DATA)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert sorted((r for r in got if r[0] is None or r[0] < 0), key=str) == sorted(more[:2], key=str)
+    assert sorted(r for r in got if r[0] is not None and r[0] >= 0) == sorted(tuple(r) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
