@@ -25,8 +25,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: At most so many labelled texts of each language, of at most so many characters, and so many in all, are learned from.
 PER_LANG, MAX_CHARS, MAX_ROWS = 400, 20_000, 20_000
 ROUNDS = 4
-#: Longest piece, and words are scored in stretches of at most this many bytes.
-PIECE_BYTES, WORD_BYTES = 10, 40
+#: Words are scored in stretches of at most this many bytes.
+WORD_BYTES = 40
 #: A byte outside all pieces.
 FLOOR = 1e-7
 UNKNOWN = "und"
@@ -43,14 +43,14 @@ def pieces(path: str = VOCABULARY) -> list[bytes]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = {model.id_to_piece(i).lstrip("▁").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in own if 0 < len(p) <= PIECE_BYTES and not NOT_LETTER[np.frombuffer(p, np.uint8)].any() and p == p.lower())
+    return sorted(p for p in own if p and not NOT_LETTER[np.frombuffer(p, np.uint8)].any() and p == p.lower())
 
 
 class Pieces:
     """Finds pieces at all positions of a buffer: tables by hash, one for each piece length."""
 
     def __init__(self, own: list[bytes]):
-        self.n = len(own)
+        self.n, self.longest = len(own), max(map(len, own), default=0)
         self.tables = {}
         for size in sorted({len(p) for p in own}):
             index = np.array([i for i, p in enumerate(own) if len(p) == size], np.int32)
@@ -63,9 +63,9 @@ class Pieces:
             self.tables[size] = (h[order], index[order], first, np.diff(np.append(first, len(order))))
 
     def found(self, buf: np.ndarray) -> list[np.ndarray]:
-        """For each size up to PIECE_BYTES, the piece of that size at each start, or n."""
+        """For each size up to the longest, the piece of that size at each start, or n."""
         sums, scale = tk.prefix_sums(buf, lower=False)
-        out = [np.full(len(buf), self.n, np.int32) for _ in range(PIECE_BYTES + 1)]
+        out = [np.full(len(buf), self.n, np.int16 if self.n < 1 << 15 else np.int32) for _ in range(self.longest + 1)]
         for size, (keys, index, first, count) in self.tables.items():
             m = len(buf) - size + 1
             if m <= 0:
@@ -106,7 +106,7 @@ def word_log_probabilities(buf: np.ndarray, start: np.ndarray, length: np.ndarra
     found = own.found(buf)
     out = np.ones((len(at), prob.shape[1]))
     order = np.argsort(-size, kind="stable")
-    ring = PIECE_BYTES + 1
+    ring = own.longest + 1
     for k in range(0, len(order), BLOCK):
         # All stretches of a block step through their bytes together, the shorter ones leave first.
         group = order[k : k + BLOCK]
@@ -116,7 +116,7 @@ def word_log_probabilities(buf: np.ndarray, start: np.ndarray, length: np.ndarra
         for j in range(1, -int(less[0]) + 1):
             longer, m = np.searchsorted(less, [-j, -j + 1])
             now = alpha[(j - 1) % ring, :m] * FLOOR
-            for w in range(1, min(j, PIECE_BYTES) + 1):
+            for w in range(1, min(j, own.longest) + 1):
                 piece = found[w][lead[:m] + (j - w)]
                 hit = np.flatnonzero(piece < own.n)
                 if len(hit):
@@ -141,13 +141,13 @@ def _expected(buf, start, length, weight, own: Pieces, p: np.ndarray) -> np.ndar
         step = {}
         for j in range(1, n + 1):
             alpha[j] = alpha[j - 1] * FLOOR
-            for w in range(1, min(j, PIECE_BYTES) + 1):
+            for w in range(1, min(j, own.longest) + 1):
                 piece = found[w][lead + j - w]
                 step[j, w] = piece
                 alpha[j] += alpha[j - w] * p[piece]
         for j in range(n - 1, -1, -1):
             beta[j] = beta[j + 1] * FLOOR
-            for w in range(1, min(n - j, PIECE_BYTES) + 1):
+            for w in range(1, min(n - j, own.longest) + 1):
                 beta[j] += beta[j + w] * p[step[j + w, w]]
         scale = weight[word[group]] / alpha[n]
         for (j, w), piece in step.items():

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tallyforge.llm import decontamination, mixing, near_dedup
+from tallyforge.llm import decontamination, language, mixing, near_dedup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -81,3 +81,13 @@ def test_language_stage_judges_rows(spark):
     got = [tuple(r) for r in out.collect()]
     assert sorted((r for r in got if r[0] is None or r[0] < 0), key=str) == sorted(more[:2], key=str)
     assert sorted(r for r in got if r[0] is not None and r[0] >= 0) == sorted(tuple(r) for r in docs.collect() if r.text and any(c.isalpha() for c in r.text))
+
+
+def test_pieces_of_all_lengths():
+    """The vocabulary's long pieces are kept, and segmentations that use one are summed."""
+    own = language.pieces()
+    assert max(map(len, own)) == 24 and sum(len(p) > 10 for p in own) > 500
+    pieces = language.Pieces([b"abcdefghijkl", b"m"])
+    p = np.array([[0.25], [0.5], [0.0]])
+    got = language.word_log_probabilities(np.frombuffer(b"abcdefghijklm", np.uint8), np.array([0]), np.array([13]), pieces, p)[0, 0]
+    assert np.isclose(np.exp(got), 0.125, rtol=1e-4)
