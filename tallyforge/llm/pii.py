@@ -23,10 +23,12 @@ KINDS = ("email", "ip", "card", "phone")
 #: Fixed values of the base rules.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns for ip and card, in forms that read each digit once: a match always starts where a run of digits does.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+DIGITS = re.compile(r"[0-9]+")
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPELLED = re.compile(r"(?i)[\[({<]?(at|dot)[\])}>]?")
@@ -38,6 +40,14 @@ EXAMPLES = (
     "mail: john.smith/email (at)/email example/email (dot)/email com/email please",
     "contact anna_k/email [at]/email uni-town/email [dot]/email edu/email or not",
     "email bob77/email at/email host/email dot/email net/email now",
+    "we asked mark99/email (at)/email home/email dot/email org/email about the plan",
+    "answers went to lee/email [at]/email works/email dot/email de/email again",
+    "it was sue.k/email {at}/email big-site/email [dot]/email com/email that wrote back",
+    "send it to p_q/email at/email corner/email dot/email it/email before noon",
+    "reach amy5/email {at}/email club/email (dot)/email net/email while we wait",
+    "from tom/email [at]/email lab/email (dot)/email edu/email came no word",
+    "they met at noon and put a dot on the map",
+    "look at the dot on page 12 again",
     "call +1/phone (017)/phone 555-7713/phone before noon",
     "tel: (030)/phone 555-0199/phone or later",
     "phone 555-010-4477/phone ask for her",
@@ -182,6 +192,12 @@ def viterbi(emissions: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def in_byte(part: str) -> bool:
+    """Whether these ASCII digits, of any number, are at most 255."""
+    tail = part.lstrip("0")
+    return len(tail) < 3 or (len(tail) == 3 and tail <= "255")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -209,7 +225,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         else:
             at = text.find("@", at + 1)
     for m in IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(map(in_byte, m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
@@ -264,7 +280,7 @@ def _added(text: str, places: list[tuple[int, int]], labels: np.ndarray, base: l
             fits = (
                 ("@" in text[a:b] or re.search(r"(?i)\bat\b.*\bdot\b", text[a:b], re.S) is not None,)
                 if kind == 0
-                else (digits >= 4 and text[a:b].count(".") == 3 and all(p.isdigit() and int(p) <= 255 for p in text[a:b].split(".")),)
+                else (digits >= 4 and text[a:b].count(".") == 3 and all(DIGITS.fullmatch(p) and in_byte(p) for p in text[a:b].split(".")),)
                 if kind == 1
                 else (13 <= digits <= 19 and luhn(NOT_DIGIT.sub("", text[a:b])),)
                 if kind == 2

@@ -18,9 +18,11 @@ BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is set (tests)."""
+    """The cluster's shared folder; a local one is made only on a local master where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

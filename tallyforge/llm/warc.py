@@ -1,13 +1,16 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Files hold one gzip member a record. A reading task scans its byte range for the gzip magic, checks each candidate
-by decoding the member's head up to the WARC version line, owns the records that start inside its range and reads on
-past the range's end for the last of them. Files lie in the shared folder and are reached by URI.
+Files hold one gzip member a record. Tasks scan byte ranges for the gzip magic and check each candidate by decoding it: a
+whole member, whose content begins with the WARC version line, is a record's candidate, owned by the range that it starts
+in. A range may begin inside a member whose payload holds gzip members of its own, stored as they are; no range can
+tell these from records. So the candidates' starts and ends are followed from each file's first byte, as a reader of the
+whole file would, and only members met on that way are read. Results are the same for every split.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -93,63 +96,87 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
 
 
 class _Window:
-    """Bytes of a file from an offset, read as asked."""
+    """Bytes of a file, read in pieces as asked; what lies before `at` is given up."""
 
     def __init__(self, stream, size: int, at: int):
-        self.stream, self.size, self.at, self.buf = stream, size, at, b""
-
-    def have(self, n: int) -> bool:
-        """At least n bytes from `at` are held, unless the file ends."""
-        while len(self.buf) < n:
-            start = self.at + len(self.buf)
-            if start >= self.size:
-                return False
-            got = self.stream.read_at(min(READ, self.size - start), start)
-            if not got:
-                return False
-            self.buf += got
-        return True
-
-    def skip(self, n: int) -> None:
-        self.at, self.buf = self.at + n, self.buf[n:]
-
-
-def _member(win: _Window) -> tuple[bytes, int] | None:
-    """The member's content and compressed length if one that is a WARC record starts here."""
-    z, used, parts, checked = zlib.decompressobj(31), 0, [], False
-    try:
-        while not z.eof:
-            if not win.have(used + 1):
+        self.stream, self.size, self.at = stream, size, at
+        self.buf, self.base = b"", at
+
+    def piece(self, at: int, most: int) -> bytes:
+        """At most `most` bytes from `at`, of which at least one unless the file ends there."""
+        if not self.base <= at < self.base + len(self.buf):
+            if at >= self.size:
+                return b""
+            self.buf, self.base = self.stream.read_at(min(READ, self.size - at), at), at
+        k = at - self.base
+        return self.buf[k : k + most]
+
+    def next_magic(self, end: int) -> int | None:
+        """The first place in [at, end) where the magic starts."""
+        while self.at < end:
+            held = self.piece(self.at, READ)
+            if not held:
                 return None
-            piece = win.buf[used : used + (READ if checked else 4096)]
-            parts.append(z.decompress(piece))
-            used += len(piece) - len(z.unused_data)
-            if not checked and sum(map(len, parts)) >= 5:
-                if not b"".join(parts).startswith(b"WARC/"):
+            k = held.find(MAGIC)
+            if k >= 0:
+                return self.at + k if self.at + k < end else None
+            # The magic may lie across this piece's end.
+            ahead = self.at + len(held)
+            if ahead >= self.size:
+                return None
+            back = max(self.at, ahead - len(MAGIC) + 1)
+            if len(held) < len(MAGIC):
+                self.buf, self.base = self.stream.read_at(min(READ, self.size - self.at), self.at), self.at
+                if len(self.buf) <= len(held):
                     return None
-                checked = True
-    except zlib.error:
+                continue
+            self.at, self.buf, self.base = back, b"", back
         return None
-    return (b"".join(parts), used) if checked else None
 
 
-def scan_range(stream, size: int, start: int, end: int) -> Iterator[bytes]:
-    """Records whose member starts in [start, end)."""
-    win = _Window(stream, size, start)
-    while win.at < end and win.have(len(MAGIC)):
-        k = win.buf.find(MAGIC)
-        if k < 0:
-            win.skip(max(len(win.buf) - len(MAGIC) + 1, 1))
-            continue
-        win.skip(k)
-        if win.at >= end:
+def _inflated(win: _Window, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the content of the gzip member at `at`, each with the member's end (0 until it is known); stops early if there is none."""
+    z, used = zlib.decompressobj(31), at
+    while not z.eof:
+        given = win.piece(used, 4096 if used == at else READ)
+        if not given:
             return
-        got = _member(win)
-        if got is None:
-            win.skip(1)
-        else:
-            yield got[0]
-            win.skip(got[1])
+        used += len(given)
+        while given and not z.eof:
+            try:
+                out = z.decompress(given, READ)
+            except zlib.error:
+                return
+            given = z.unconsumed_tail
+            yield out, used - len(z.unused_data) if z.eof else 0
+
+
+def candidates(stream, size: int, start: int, end: int) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, is a WARC record) of every whole gzip member that starts in [start, end), members inside others too."""
+    win = _Window(stream, size, start)
+    while (at := win.next_magic(end)) is not None:
+        head, stop = b"", 0
+        for out, stop in _inflated(win, at):
+            head = (head + out[:5])[:5]
+        if stop:
+            yield at, stop, head == b"WARC/"
+        win.at = at + 1
+
+
+def followed(spans: Iterator[tuple[int, int, bool]]) -> list[int]:
+    """Starts of the records among a file's candidates: each member's end is where the next one may start."""
+    at, out = 0, []
+    for start, stop, record in sorted(spans):
+        if start >= at:
+            at = stop
+            if record:
+                out.append(start)
+    return out
+
+
+def member(stream, size: int, at: int) -> bytes:
+    """The content of the whole gzip member at `at`."""
+    return b"".join(out for out, _ in _inflated(_Window(stream, size, at), at))
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -160,27 +187,55 @@ def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
         return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in part.decode("utf-8", "replace").split("\r\n")[1:])}
 
     own = fields(head)
-    block = rest[: int(own.get("content-length", 0))]
+    block = rest[: _count(own.get("content-length"))]
     http, _, payload = block.partition(b"\r\n\r\n")
     return own, fields(http), payload
 
 
+def _count(field: str | None) -> int:
+    return int(field) if field and re.fullmatch(r"[0-9]{1,18}", field) else 0
+
+
 def _page(uri: str | None) -> int | None:
-    tail = (uri or "").strip("<>").rpartition(":")[2]
-    return int(tail) if tail.lstrip("-").isdigit() else None
+    tail = re.fullmatch(r"<?urn:page:(-?[0-9]{1,19})>?", uri or "")
+    return int(tail[1]) if tail and -(1 << 63) <= int(tail[1]) < 1 << 63 else None
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, size, start, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as stream:
+                spans = list(candidates(stream, size, start, end))
+            if spans:
+                starts, stops, records = zip(*spans, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(spans)), pa.array([size] * len(spans), pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(records, pa.bool_())], ["path", "bytes", "start", "stop", "record"])
+
+
+def _walk(split: int):
+    def run(table: pa.Table) -> pa.Table:
+        path, size = (table[c][0].as_py() for c in ("path", "bytes"))
+        starts = followed(zip(*(table[c].to_pylist() for c in ("start", "stop", "record")), strict=True))
+        parts: dict[int, list[int]] = {}
+        for s in starts:
+            parts.setdefault(s // split, []).append(s)
+        return pa.table({"path": pa.array([path] * len(parts), pa.string()), "bytes": pa.array([size] * len(parts), pa.int64()), "part": pa.array(list(parts), pa.int64()), "starts": pa.array(list(parts.values()), pa.list_(pa.int64()))})
+
+    return run
+
+
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, size, starts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             store, name = fs.FileSystem.from_uri(path)
             rows, held = [], 0
             with store.open_input_file(name) as stream:
-                for raw in scan_range(stream, size, start, end):
-                    own, http, payload = parsed(raw)
+                win = _Window(stream, size, starts[0])
+                for at in starts:
+                    own, http, payload = parsed(b"".join(out for out, _ in _inflated(win, at)))
                     kind = own.get("warc-type")
                     if kind == "revisit":
-                        n, digest = int(http.get("content-length", 0)), own.get("warc-payload-digest", "").removeprefix("sha256:")
+                        n, digest = _count(http.get("content-length")), own.get("warc-payload-digest", "").removeprefix("sha256:")
                     else:
                         n, digest = len(payload), hashlib.sha256(payload).hexdigest()
                     rows.append((_page(own.get("warc-record-id")), own.get("warc-target-uri"), kind, n, digest, _page(own.get("warc-refers-to")), payload))
@@ -202,13 +257,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def read_archive(files: DataFrame, split: int = SPLIT) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of files(path, bytes, ...).
 
-    Size and digest are those of the full payload, taken from a revisit's header fields. Bytes that are no record are passed over.
+    Size and digest are those of the full payload, taken from a revisit's header fields. Bytes that are no record are passed
+    over: gzip members of other content as a whole, a member cut off by the file's end or damaged up to the next whole one.
+    A record whose id was not written here has a null page_id, one whose lengths are no numbers an empty payload. The
+    members' places of one file (some 60 bytes a record) are followed in one task; empty files have no record.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long")))
     ranges = files.filter("bytes > 0").select("path", "bytes", starts.alias("start")).withColumn("end", F.least(F.col("start") + split, F.col("bytes")))
     # As many tasks as ranges: the rows are few, so Spark would join them into one task.
     tasks = max(1, min(ranges.count(), MOST_TASKS))
-    return ranges.repartition(tasks, "path", "start").mapInArrow(_reader, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    found = ranges.repartition(tasks, "path", "start").mapInArrow(_scanner, "path string, bytes long, start long, stop long, record boolean")
+    parts = written(found.groupBy("path").applyInArrow(_walk(split), "path string, bytes long, part long, starts array<long>"), "warc-starts")
+    return parts.repartition(tasks, "path", "part").select("path", "bytes", "starts").mapInArrow(_reader, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame) -> DataFrame:

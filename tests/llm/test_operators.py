@@ -185,6 +185,39 @@ def test_personal_data(docs, rows, spark, edge):
     assert pii.found(edge).count() == len(EDGE)
 
 
+def test_personal_data_of_odd_digits(spark):
+    """Digits that are none in ASCII, parts of thousands of digits, and long runs in time that grows with the text."""
+    run = "1" * 400_000
+    src = [(1, "server 10.0.0.17\u00b2 answers on \u2460 8080"), (2, "9" * 5000 + ".1.1.1"), (3, "0" * 5000 + "7.1.1.1 x"), (4, run), (5, "1 " * 200_000), (6, ("1." * 100_000) + "x"), (7, "+" + run), (8, "a" * 300_000 + "@" + "b" * 300_000)]
+    got = {r.doc_id: r for r in pii.digest(pii.found(spark.createDataFrame(src, "doc_id long, text string"))).collect()}
+    assert [got[i].n_ip for i in range(1, 9)] == [1, 0, 1, 0, 0, 25_000, 0, 0] and got[1].spans.startswith("ip:7:16")
+    assert all(pii.in_byte(x) == (int(x) <= 255) for x in map(str, range(300))) and pii.in_byte("000255") and not pii.in_byte("0256")
+
+
+def test_personal_data_beyond_patterns():
+    """Held-out names and forms: spelled-out addresses and phones without a plus; look-alike numbers stay."""
+    rng = np.random.default_rng(11)
+    pick = lambda *x: x[rng.integers(len(x))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    plain = lambda: " ".join(pick(*"the report was sent early and nobody asked about it while we waited for answers from town".split()) for _ in range(4))
+    emit, trans = pii.trained()
+
+    def address():
+        at, dot = pick(("(at)", "(dot)"), ("[at]", "[dot]"), ("at", "dot"), ("{at}", "dot"))
+        return pick("olga", "quentin", "sven", "mara") + pick("", ".x", "_b") + pick("", digits(2)) + f" {at} " + pick("acme", "riverbank", "north-wind") + f" {dot} " + pick("com", "org", "de")
+
+    phone = lambda: pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)}-{digits(4)}-{digits(4)}")
+    hits = {0: 0, 3: 0}
+    for _ in range(200):
+        for kind, cue, x in ((0, pick("", "mail ", "contact "), address()), (3, pick("tel ", "phone ", "call ", "mobile: "), phone())):
+            t = f"{plain()} {cue}"
+            hits[kind] += (len(t), kind, len(t) + len(x)) in pii.found_in([f"{t}{x} {plain()}"], emit, trans)[0][1]
+    assert min(hits.values()) >= 0.9 * 200, hits
+    others = [f"in 19{digits(2)} there were {digits(4)} of them", f"order {digits(10)} shipped", f"version {digits(1)}.{digits(1)}.{digits(2)}", "at noon a dot on the map", f"isbn 978-3-{digits(2)}-{digits(6)}-0", f"part {digits(3)}-{digits(4)} fits", f"costs {digits(2)}.99 or 1,{digits(3)}.00"]
+    added = sum(len(a) > len(b) for b, a in pii.found_in([f"{plain()} {x} {plain()}" for x in others * 20], emit, trans))
+    assert added <= 0.02 * 20 * len(others)
+
+
 def test_viterbi_is_exhaustive():
     rng = np.random.default_rng(3)
     x, trans = rng.normal(size=(4, 5)), rng.normal(size=(5, 5))
@@ -208,10 +241,32 @@ def test_warc_round_trip(spark):
     assert warc.archived(df.filter("page_id < 0")).count() == 0
 
 
-def test_warc_false_magic():
-    raw = b"noise" + warc.MAGIC + b"\x00" * 40 + warc.record(1, "u", b"p" * 10, "d", None) + warc.MAGIC + warc.record(2, "u", b"q", "e", None)
-    read = list(warc.scan_range(pa.PythonFile(io.BytesIO(raw), mode="r"), len(raw), 0, len(raw)))
-    assert [warc.parsed(r)[2] for r in read] == [b"p" * 10, b"q"]
+def _starts(raw: bytes, split: int) -> list[int]:
+    stream = pa.PythonFile(io.BytesIO(raw), mode="r")
+    return warc.followed(x for a in range(0, len(raw), split) for x in warc.candidates(stream, len(raw), a, min(a + split, len(raw))))
+
+
+def _stored(content: bytes) -> bytes:
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(content) + z.flush()
+
+
+@pytest.mark.parametrize("split", [64, 512, 8192, 1 << 20])
+def test_warc_members_inside_members(spark, split, tmp_path):
+    """Magic bytes in noise, records stored inside records and inside other members, a damaged and a cut-off member."""
+    one, two, three = (warc.record(i, "u", p, "d", None) for i, p in ((1, b"p" * 10), (2, b"q" * 3000), (3, bytes(range(256)) * 9)))
+    inner = warc.record(99, "u", b"inner", "d", None)
+    outer = _stored(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: " + str(9 + 20_000 + 3 * len(inner)).encode() + b"\r\n\r\nHTTP/1.1\r\n\r\n"[:9] + bytes(10_000) + inner * 3 + bytes(10_000))
+    damaged = bytearray(two)
+    damaged[-8] ^= 1
+    raw = b"noise" + warc.MAGIC + b"\x00" * 40 + one + _stored(b"no record " + inner) + outer + two + bytes(damaged) + three + inner[:-5]
+    got = _starts(raw, split)
+    stream = pa.PythonFile(io.BytesIO(raw), mode="r")
+    assert [warc.parsed(warc.member(stream, len(raw), k))[0]["warc-record-id"] for k in got] == [f"<urn:page:{i}>" for i in (1, 7, 2, 3)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(raw)
+    files = spark.createDataFrame([(path.as_uri(), len(raw)), ((tmp_path / "none").as_uri(), 0)], "path string, bytes long")
+    assert sorted(r.page_id for r in warc.read_archive(files, split).collect()) == [1, 2, 3, 7]
 
 
 def test_language(docs, spark, edge):
