@@ -367,6 +367,44 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame(rows[:0], "vec_id long, embedding array<float>, score int")).count() == 0
 
 
+def brute_top(queries, q_ids, x, ids, k):
+    out = []
+    for q, i in zip(queries, q_ids, strict=True):
+        s = x @ q
+        order = np.lexsort((ids, -s))
+        order = order[ids[order] != i][:k]
+        out.append((s[order].tolist(), ids[order].tolist()))
+    return out
+
+
+@pytest.mark.parametrize("dims", [1, 3, 64])
+def test_threshold_stops_early(dims):
+    """Exact whatever the lists hold; where the bound bites, most rows are never scored. Ties, zero queries and repeats of a vector too."""
+    rng = np.random.default_rng(dims)
+    n = 3 * topk.SHARD + 17
+    x = rng.integers(-40, 40, (n, dims))
+    x[100:400] = x[99]
+    ids = rng.permutation(n) + 1
+    q_ids, queries = ids[:30], x[:30].copy()
+    queries[3] = 0
+    best, computed = topk.searched(q_ids, queries, ids, x)
+    assert [(s.tolist(), v.tolist()) for s, v in best] == brute_top(queries, q_ids, x, ids, topk.K)
+    assert computed <= len(q_ids) * n and (dims == 64 or computed < 0.6 * len(q_ids) * n), computed / len(q_ids) / n
+
+
+def test_top_k_of_several_blocks(spark, monkeypatch):
+    """Blocks and slices of any size give the same rows; a component beyond the range is an error."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(v) for v in rng.normal(0, 0.3, 5 if i % 7 else 3)]) for i in range(500)] + [(40, [9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    one = sorted(map(tuple, topk.top_k(df).collect()))
+    for name, size in (("BLOCK", 7), ("SLICE", 64), ("SHARD", 50)):
+        monkeypatch.setattr(topk, name, size)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == one and len(one) == 25 * 20
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.scaled(pa.chunked_array([pa.array([[1.0, 2.0**60]])]))
+
+
 def test_mixing(docs, rows, spark, edge):
     got = {r.doc_id: r for r in mixing.mixed(docs).collect()}
     again = {r.doc_id: r.taken for r in mixing.mixed(docs.repartition(7)).collect()}
