@@ -1,10 +1,14 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source is cut into blocks of consecutive words; blocks fall into leaves by a hash, about LEAF of them each, and a leaf
-belongs to an output shard. A source whose target exceeds its size is taken whole first; of the rest an exact number
-of blocks is due. That quota is split down a binary tree over the source's leaves: a node's draws go to its two halves
-by a hypergeometric draw over the blocks that they hold. Each leaf then draws its quota as the first blocks of its own
-hash permutation, so draws are disjoint; a shard's blocks are shuffled by another hash.
+A source is cut into blocks of consecutive words. Its target, in blocks, is its quota: more than its blocks where it is to
+be repeated. A binary tree over the output shards splits the quotas of all sources: a node that holds a quota of each source
+gives its left shards as many blocks as they have room for, of each source a multivariate-hypergeometric number, and its
+right shards the rest. So a leaf, a shard, has an exact quota of each source, and all shards are equally full.
+
+A source's blocks are permuted by a hash; repeated, the permutation gives the places 0, 1, ... of its quota, which the
+shards take in turn, each as many as its own: draws are disjoint, and a shard takes no block twice before others come once.
+Within a shard blocks are shuffled by another hash. Ranks in the permutation are ranks within a leaf of
+hash values plus the blocks of the leaves before it, so no task sorts a whole source.
 """
 
 from __future__ import annotations
@@ -12,12 +16,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import small_batches, written
+from .scratch import dropped, small_batches, written
 
 WORD = r"[^ \t-\r]+"
 WEIGHTS = (5, 2, 1)
@@ -25,33 +29,71 @@ WEIGHTS = (5, 2, 1)
 TOTAL, CAP = 1.5, 2.0
 #: Words in a block: a source's words / GRAIN, within these.
 BLOCK_MIN, BLOCK_MAX, GRAIN = 1, 256, 4096
-LEAF, SHARDS, SEED = 1024, 8, 17
+#: Blocks of a leaf of hash values, about; output shards; parts of a shard that are sorted each in a task.
+LEAF, SHARDS, PARTS, SEED = 1 << 14, 8, 64, 17
+
+
+def _log_factorial_ratio(a: float, b: float) -> float:
+    """ln(a!) - ln(b!), without the loss of a difference of two large logarithms."""
+    if min(a, b) < 1e6:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    return (b + 0.5) * math.log1p((a - b) / b) + (a - b) * (math.log(a) - 1) + (1 / a - 1 / b) / 12
+
+
+def by_ratio_of_uniforms(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric number by the ratio of uniforms (Stadlober 1990), for counts of any size; each is positive."""
+    total = good + bad
+    m = min(draws, total - draws)
+    mean = m * (good / total)
+    var = mean * (bad / total) * ((total - m) / (total - 1))
+    # Fixed values of the method: 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e).
+    width = 1.7155277699214135 * math.sqrt(var + 0.5) + 0.8989161620588988
+    mode = (m + 1) * (good + 1) // (total + 2)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if not max(0, m - bad) <= k <= min(m, good):
+            continue
+        pairs = ((k, mode), (good - k, good - mode), (m - k, m - mode), (bad - m + k, bad - m + mode))
+        if 2 * math.log(u) <= -sum(_log_factorial_ratio(float(x), float(y)) for x, y in pairs):
+            return k if m == draws else good - k
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of draws without replacement are good; one law for counts of any size."""
+    if not good or not draws:
+        return 0
+    if not bad or draws == good + bad:
+        return min(good, draws)
+    if max(good, bad) < 10**9:  # as far as numpy's generator, of the same law, goes
+        return int(rng.hypergeometric(good, bad, draws))
+    return by_ratio_of_uniforms(rng, good, bad, draws)
+
+
+def drawn_of_each(rng: np.random.Generator, counts: list[int], draws: int) -> list[int]:
+    """A multivariate-hypergeometric vector: of each count, how many are among the draws."""
+    rest, out = sum(counts), []
+    for n in counts:
+        rest -= n
+        out.append(hypergeometric(rng, n, rest, draws))
+        draws -= out[-1]
+    return out
 
 
-def split_quota(counts: np.ndarray, quota: int, seed: tuple[int, ...]) -> np.ndarray:
-    """quota draws without replacement over leaves holding counts, by a binary splitting tree; seeded by node."""
-    out = np.zeros(len(counts), np.int64)
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    todo = [(0, len(counts), int(min(quota, sums[-1])))]
+def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
+    """Quotas of sources (rows) split among shards (columns) of equal room by a binary tree; seeded by node."""
+    total = sum(quotas)
+    room = [total // shards + (k < total % shards) for k in range(shards)]
+    out = np.zeros((len(quotas), shards), np.int64)
+    todo = [(0, shards, list(quotas))]
     while todo:
-        a, b, q = todo.pop()
-        if q == 0 or a == b:
-            continue
+        a, b, own = todo.pop()
         if b - a == 1:
-            out[a] = q
+            out[:, a] = own
             continue
         mid = (a + b) // 2
-        left, right = int(sums[mid] - sums[a]), int(sums[b] - sums[mid])
-        if q == left + right:
-            k = left
-        elif max(left, right) < 10**9:
-            k = int(np.random.default_rng([*seed, a, b]).hypergeometric(left, right, q))
-        else:  # beyond the generator's range the normal limit has the same mean and variance
-            n = left + right
-            sd = math.sqrt(q * (left / n) * (right / n) * ((n - q) / max(n - 1, 1)))
-            k = round(q * left / n + sd * np.random.default_rng([*seed, a, b]).standard_normal())
-        k = min(max(k, q - right, 0), left, q)
-        todo += [(a, mid, k), (mid, b, q - k)]
+        left = drawn_of_each(np.random.default_rng([seed, a, b]), own, sum(room[a:mid]))
+        todo += [(a, mid, left), (mid, b, [x - y for x, y in zip(own, left, strict=True)])]
     return out
 
 
@@ -76,71 +118,82 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
     return per.select("source", "no", "source_size", F.coalesce(F.least(F.col("most"), F.col("w") * F.col("rate_at")), F.col("most")).alias("target"))
 
 
-def block_plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes (doc_id, source, size, no, source_size, target, whole) and drawn blocks (doc_id, shard, place, block, first_word, words)."""
-    spark = docs.sparkSession
-    small_batches(spark, 10_000)
+def _tree(shards: int):
+    """One row a source (no, quota) to (no, ends): the place in its quota where each shard's share ends."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("no")
+        ends = np.cumsum(split_quotas(table["quota"].to_pylist(), shards), axis=1)
+        return pa.table({"no": table["no"], "ends": pa.array(ends.tolist(), pa.list_(pa.int64()))})
+
+    return run
+
+
+def block_plan(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes (doc_id, source, size, no, source_size, target, blocks, ...), draws (doc_id, no, shard, place, block, first_word, words) and quotas (no, quota, ends).
+
+    One row a source is ranked, summed and split in one task each (targets, the tree: some 100 bytes and 10 microseconds a source and shard).
+    """
+    small_batches(docs.sparkSession, 10_000)
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = sizes.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("size", "source")).alias("s")).select("doc_id", "s.size", "s.source")
     sizes = written(sizes, "sizes")
-    per = targets(sizes)
     block = F.greatest(F.lit(BLOCK_MIN), F.least(F.lit(BLOCK_MAX), F.floor(F.col("source_size") / GRAIN))).cast("long")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per = written(per.withColumn("block_words", block).withColumn("whole", whole), "sources")
+    per = written(targets(sizes).withColumn("block_words", block), "sources")
     known = sizes.join(per.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    blocks = F.ceil(F.col("size") / F.col("block_words")).cast("long")
-    known = written(known.withColumn("blocks", blocks), "known")
-    shares = written(known.groupBy("no").agg(F.sum("blocks").alias("all_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"))
-        .withColumn("leaves", F.greatest(F.lit(1), F.ceil(F.col("all_blocks") / LEAF)).cast("int"))
-        .withColumn("quota", F.least("all_blocks", F.coalesce(F.round((F.col("target") - F.col("whole") * F.col("source_size")) / F.col("source_size") * F.col("all_blocks")), F.lit(0)).cast("long"))),
-        "shares",
-    )
+    known = written(known.withColumn("blocks", F.ceil(F.col("size") / F.col("block_words")).cast("long")), "known")
+    dropped(sizes)
+    shares = known.groupBy("no").agg(F.sum("blocks").alias("all_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    shares = shares.withColumn("quota", F.coalesce(F.round(F.col("target") / F.nullif("source_size", F.lit(0)) * F.col("all_blocks")), F.lit(0)).cast("long"))
+    shares = written(shares.withColumn("leaves", F.greatest(F.lit(1), F.ceil(F.col("all_blocks") / LEAF)).cast("long")), "shares")
+    tree = shares.select("no", "quota", F.lit(0).alias("every")).groupBy("every").applyInArrow(_tree(shards), "no int, ends array<long>")
+    quotas = written(shares.join(tree, "no"), "quotas")
+    key = F.xxhash64(F.lit(SEED), "doc_id", "block")
     each = (
-        known.filter("size > 0").join(shares.filter("quota > 0").select("no", "leaves"), "no")
+        known.filter("size > 0").join(quotas.filter("quota > 0").select("no", "leaves"), "no")
         .select("doc_id", "no", "size", "block_words", "leaves", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         .select("doc_id", "no", "block", (F.col("block") * F.col("block_words")).alias("first_word"), F.least(F.col("block_words"), F.col("size") - F.col("block") * F.col("block_words")).alias("words"),
-            F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "block"), F.col("leaves")).cast("int").alias("leaf"))
+            key.alias("key"), F.floor(F.shiftrightunsigned(key, 11) / float(1 << 53) * F.col("leaves")).cast("long").alias("leaf"))
     )
-
-    def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("leaf")
-        got = split_quota(pdf["n"].to_numpy(), int(pdf["quota"].iloc[0]), (SEED, int(pdf["no"].iloc[0])))
-        return pd.DataFrame({"no": pdf["no"], "leaf": pdf["leaf"], "due": got})
-
-    counts = each.groupBy("no", "leaf").agg(F.count(F.lit(1)).alias("n")).join(shares.select("no", "quota"), "no")
-    due = counts.groupBy("no").applyInPandas(quotas, "no int, leaf int, due long").filter("due > 0")
-    order = Window.partitionBy("no", "leaf").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id", "block"), "doc_id", "block")
-    drawn = each.withColumn("r", F.row_number().over(order)).join(due, ["no", "leaf"]).filter("r <= due")
-    # A leaf of about LEAF blocks goes to one shard; places within a shard are another permutation.
-    drawn = drawn.select("doc_id", F.pmod(F.xxhash64(F.lit(SEED + 2), "no", "leaf"), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 3), "doc_id", "block").alias("place"), "block", "first_word", "words")
-    return known, drawn
+    before = Window.partitionBy("no").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
+    counts = each.groupBy("no", "leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Leaves that begin beyond the quota give nothing.
+    wanted = counts.join(quotas.select("no", "quota", "all_blocks", "ends"), "no").filter("offset < quota").select("no", "leaf", "offset", "quota", "all_blocks", "ends")
+    order = Window.partitionBy("no", "leaf").orderBy("key", "doc_id", "block")
+    ranked = each.withColumn("rank", F.row_number().over(order) - 1).join(wanted, ["no", "leaf"]).withColumn("rank", F.col("rank") + F.col("offset")).filter("rank < quota")
+    # Each turn of the permutation takes the block once more, at another place of the quota.
+    turns = ranked.withColumn("turn", F.explode(F.expr("sequence(0L, (quota - 1 - rank) div all_blocks)"))).withColumn("at", F.col("rank") + F.col("turn") * F.col("all_blocks"))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("at"))).cast("int")
+    drawn = turns.select("doc_id", "no", shard.alias("shard"), F.xxhash64(F.lit(SEED + 1), "doc_id", "block", "turn").alias("place"), "block", "first_word", "words")
+    return known, drawn, quotas
+
+
+def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, shards) for every doc_id of docs(doc_id, text, source, ...).
+
+    taken: words of the document in the mix, repeats counted; shards: in how many shards some are. A null or empty text has
+    size 0 and gives nothing. The null source comes last. Of repeated rows of one doc_id the longest is mixed, of equally long ones that
+    of the last source; rows without one are left out. Empty tables have no rows. Other columns are not looked at.
+    """
+    known, drawn, _ = block_plan(docs, shards)
+    got = drawn.groupBy("doc_id").agg(F.sum("words").alias("words"), F.count_distinct("shard").alias("in_shards"))
+    return known.join(got, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), F.coalesce("in_shards", F.lit(0).cast("long")).alias("shards"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, whole) for every doc_id of docs(doc_id, text, source, ...).
+def mixed_texts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(shard, place, doc_id, text) of the mix: drawn blocks, words joined by blanks, shuffled within shards.
 
-    taken: words of the document in the mix; whole copies count each time. A null or empty text has size 0 and gives
-    nothing. The null source comes last. Of repeated rows of one doc_id the longest is mixed; rows without one are left out.
+    Null and empty texts and rows without doc_id give none. Of repeated rows of one doc_id the one with most words is cut, of these the last text.
     """
-    known, drawn = block_plan(docs)
-    got = drawn.groupBy("doc_id").agg(F.sum("words").alias("words"))
-    return known.join(got, "doc_id", "left").select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.coalesce("words", F.lit(0))).cast("long").alias("taken"), "whole")
-
-
-def mixed_texts(docs: DataFrame) -> DataFrame:
-    """(shard, place, doc_id, text) of the mix: whole copies and drawn blocks, words joined by blanks, shuffled within shards."""
-    known, drawn = block_plan(docs)
-    copies = known.filter("whole > 0 and size > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))).alias("copy"), F.col("size").alias("words"))
-    copies = copies.select("doc_id", F.pmod(F.xxhash64(F.lit(SEED + 4), "doc_id", "copy"), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 5), "doc_id", "copy").alias("place"), F.lit(0).cast("long").alias("first_word"), "words")
-    parts = copies.unionByName(drawn.drop("block"))
+    _, drawn, _ = block_plan(docs, shards)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.regexp_count("text", F.lit(WORD)), F.col("text"))).alias("text"))
     words = F.filter(F.split(F.col("text"), r"[ \t-\r]+"), lambda w: F.length(w) > 0)
-    # A text is split once, for all of its parts: the array of one array binds its words.
-    own = parts.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "place", F.col("first_word").cast("int").alias("first_word"), F.col("words").cast("int").alias("words"))).alias("parts"))
+    # A text is split once, for all of its blocks: the array of one array binds its words.
+    own = drawn.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "place", F.col("first_word").cast("int").alias("first_word"), F.col("words").cast("int").alias("words"))).alias("parts"))
     cut = F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.struct(p["shard"].alias("shard"), p["place"].alias("place"), F.array_join(F.slice(w, p["first_word"] + 1, p["words"]), " ").alias("text"))))[0]
     out = own.join(texts, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("p.shard", "p.place", "doc_id", "p.text")
-    return out.repartition(F.col("shard"), F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
+    return out.repartition(F.col("shard"), F.pmod("place", F.lit(PARTS))).sortWithinPartitions("shard", "place")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

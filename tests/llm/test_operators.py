@@ -428,13 +428,52 @@ def test_mixing(docs, rows, spark, edge):
     assert mixing.mixed(edge).count() == len(EDGE) and mixing.mixed(edge.limit(0)).count() == 0
     texts = mixing.mixed_texts(edge).groupBy("doc_id").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
     assert {r.doc_id: r.n for r in texts} == {r.doc_id: r.taken for r in mixing.mixed(edge).collect() if r.taken}
-
-
-def test_split_quota():
-    counts = np.array([100, 0, 50, 7, 300])
-    got = [mixing.split_quota(counts, 200, (1, k)) for k in range(300)]
-    assert all(g.sum() == 200 and (g <= counts).all() and (g >= 0).all() for g in got)
-    assert np.allclose(np.mean(got, axis=0), 200 * counts / counts.sum(), atol=2)
+    twice = spark.createDataFrame([(1, "a b", "x"), (1, "c d e", "y"), (1, "c d e", None), (None, "f g", "x"), (2, None, "x")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.size, r.taken) for r in mixing.mixed(twice).collect()) == [(1, 3, 5), (2, 0, 0)]
+
+
+def test_tree_over_shards(spark, docs):
+    """Draws of each source and shard are the tree's quotas; blocks come once before any comes twice; shards are equally full."""
+    _, drawn, quotas = mixing.block_plan(docs)
+    want = {r.no: r for r in quotas.collect()}
+    rows = drawn.collect()
+    due = mixing.split_quotas([want[k].quota for k in sorted(want)], mixing.SHARDS)
+    got = np.zeros_like(due)
+    for r in rows:
+        got[sorted(want).index(r.no), r.shard] += 1
+    assert (got == due).all() and got.sum(axis=0).max() - got.sum(axis=0).min() <= 1 and (due > 0).all(axis=1).any()
+    times: dict[int, dict] = {}
+    for r in rows:
+        own = times.setdefault(r.no, {})
+        own[r.doc_id, r.block] = own.get((r.doc_id, r.block), 0) + 1
+    for no, own in times.items():
+        turns = want[no].quota // want[no].all_blocks
+        assert set(own.values()) <= {turns, turns + 1} and sum(own.values()) == want[no].quota
+        assert len({(r.shard, r.place) for r in rows}) == len(rows)
+
+
+def test_split_quotas_law():
+    """Rows and columns add up; a cell's mean and variance are the hypergeometric ones, also beyond 10 ** 9."""
+    quotas = [100, 0, 57, 7, 300]
+    got = np.array([mixing.split_quotas(quotas, 4, seed) for seed in range(600)])
+    assert (got.sum(axis=2) == quotas).all() and (got.sum(axis=1) == [116] * 4).all()
+    n, q = 464, 116
+    for i, x in enumerate(quotas):
+        var = q * x / n * (1 - x / n) * (n - q) / (n - 1)
+        assert np.allclose(got[:, i].mean(axis=0), q * x / n, atol=5 * (var / 600) ** 0.5 + 1e-9) and np.allclose(got[:, i].var(axis=0), var, rtol=0.3, atol=1e-9)
+    rng = np.random.default_rng(0)
+    for good, bad, draws in ((5, 9, 6), (30, 12, 35), (400, 700, 300)):
+        x = np.array([mixing.by_ratio_of_uniforms(rng, good, bad, draws) for _ in range(20_000)])
+        y = rng.hypergeometric(good, bad, draws, 20_000)
+        edges = np.unique(np.quantile(y, np.linspace(0, 1, 12)))
+        a, b = (np.histogram(v, [-1, *edges, 10**6])[0] for v in (x, y))
+        assert ((a - b) ** 2 / np.maximum(a + b, 1)).sum() < 40
+    good, bad, draws = 7 * 10**11, 5 * 10**12, 3 * 10**11
+    x = np.array([mixing.hypergeometric(rng, good, bad, draws) for _ in range(4000)], float)
+    total = good + bad
+    mean, var = draws * good / total, draws * good / total * bad / total * (total - draws) / (total - 1)
+    z = (x - mean) / var**0.5
+    assert abs(z.mean()) < 0.08 and abs(z.var() - 1) < 0.12 and abs((z**3).mean()) < 0.25
 
 
 @pytest.mark.parametrize("op", [near_dedup.near_duplicates, substring_dedup.removed, secrets.found, pii.found, language.identified])
