@@ -6,8 +6,9 @@ it stand the counts of the set's shingles by a byte of their hashes: two sets sh
 counts. Only pairs whose estimate and bound are within reach of the threshold have their full shingle sets compared.
 
 Texts with equal shingle sets form one class before any pair is made. Within a band bucket not all pairs are made:
-members are compared with one leader, and what is then connected needs no further comparison. Buckets that still hold
-several components are dealt in pairs of blocks; a task compares two blocks' signatures and emits only the pairs of
+members are compared with one leader, and what is then connected needs no further comparison. Members of buckets that still
+hold several components are dealt by classes of their sets' sizes, as only sets of one class or of neighbouring ones can be
+similar enough, and a class in pairs of blocks; a task compares two blocks' signatures and emits only the pairs of
 different components that are within reach.
 """
 
@@ -221,7 +222,7 @@ def _block_pairs(rows: pa.Table, percent: int) -> pa.RecordBatch:
 
 
 def _compared(percent: int):
-    """Groups (key, i, j), whose rows follow each other, to pairs (a, b)."""
+    """Groups (key, cls, i, j), whose rows follow each other, to pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -230,7 +231,7 @@ def _compared(percent: int):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            ids = np.stack([table[c].to_numpy() for c in ("key", "i", "j")], axis=1)
+            ids = np.stack([table[c].to_numpy() for c in ("key", "cls", "i", "j")], axis=1)
             cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 name = tuple(ids[a])
@@ -276,7 +277,7 @@ def _links(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), which are dropped, those whose full sets are similar enough; written."""
     need = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(texts.mapInArrow(frugal(_set_batches), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = written(texts.mapInArrow(frugal(_set_batches), "doc_id long, shingles binary"), "sets")
     links = written(
         near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -288,16 +289,33 @@ def _links(near: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with one row for each doc_id that is not null: of repeated ids the greatest text, then the greatest other columns in order.
+
+    Ids alone are shuffled; only rows of repeated ids, which are reduced and written, travel with their texts. Other columns must be orderable.
+    """
+    docs = docs.filter("doc_id is not null")
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        dropped(again)
+        return docs
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    text = F.col("text").cast("string").alias("t")
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(text, *rest)).alias("s"))
+    one = written(one.select(*[F.col(f"s.c{k}").alias(c) for k, c in enumerate(docs.columns)]), "reduced")
+    return docs.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_size) for every row of docs(doc_id, text, ...).
 
     Null and empty texts, and texts of blanks, have no shingles and stay alone. Repeated rows (equal doc_id) appear
-    once, as the row whose set is named first. Rows without doc_id are left out. Other columns are not looked at.
+    once, as the row with the greatest text. Rows without doc_id are left out; an empty table has no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    every = written(signatures(docs, percent).dropDuplicates(["doc_id"]), "signatures")
+    docs = one_row_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    every = written(signatures(docs, percent), "signatures")
     # A class holds the texts of one shingle set; equal sets have equal bands and signatures.
     reps = written(
         every.filter("n_shingles > 0")
@@ -317,27 +335,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = members.join(first, "key").filter("ord > upto")
     links = _links(_near(members.select(F.col("upto.rep").alias("a"), F.col("ord.rep").alias("b")).distinct(), reps, percent), docs, percent)
     labels = connected_components(links)
-    # Buckets of several components; each pair of blocks of their members is a group.
+    # Buckets of several components, by classes of sizes: each pair of blocks of a class, or of neighbouring classes, is a group.
+    # A little wider than the ratio of sizes that a link allows, so that no rounding puts linked sets two classes apart.
+    sizes = reps.select("rep", F.floor(F.log(F.col("n_shingles")) / (math.log(100 / percent) * (1 + 1e-9)) if percent < 100 else F.col("n_shingles")).cast("long").alias("cls"))
     placed = members.withColumn("rep", F.col("ord.rep")).join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).filter("c0 <> c1")
-    several = written(several.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "several")
-    rest = placed.join(several, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp"
-    )
-    groups = dealt.join(reps.select("rep", "n_shingles", "sig"), "rep").select("key", "i", "j", "side", "rep", "comp", "n_shingles", "sig")
-    near = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(_compared(percent)), "a long, b long")
+    several = written(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"), "several")
+    rest = written(placed.join(several, "key").join(sizes, "rep"), "rest")
+    # A class is met by the next smaller one; a class of one component that no neighbour has others than needs no group.
+    met = rest.select("key", "cls", "comp").unionByName(rest.select("key", (F.col("cls") + 1).alias("cls"), "comp"))
+    met = met.groupBy("key", "cls").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key", "cls")
+    counts = rest.groupBy("key", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    blocks = counts.join(counts.select("key", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("under")), ["key", "cls"], "full").join(met, ["key", "cls"], "left_semi")
+    blocks = written(blocks.select("key", "cls", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"), F.coalesce("under", F.lit(0).cast("long")).alias("under")), "blocks")
+    own = rest.join(blocks.filter("blocks > 0"), ["key", "cls"]).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    # Within a class: blocks i <= j; with the class under it, whose blocks are numbered from -1 down.
+    within = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "cls", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp")
+    above = own.filter("under > 0").withColumn("other", F.explode(F.expr("sequence(-under, -1L)"))).select("key", "cls", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "comp")
+    under = rest.withColumn("cls", F.col("cls") + 1).join(blocks.filter("blocks > 0 and under > 0"), ["key", "cls"]).withColumn("own", -1 - F.pmod(F.xxhash64("rep"), "under"))
+    under = under.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("key", "cls", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "comp")
+    dealt = within.unionByName(above).unionByName(under)
+    groups = dealt.join(reps.select("rep", "n_shingles", "sig"), "rep").select("key", "cls", "i", "j", "side", "rep", "comp", "n_shingles", "sig")
+    near = groups.repartition("key", "cls", "i", "j").sortWithinPartitions("key", "cls", "i", "j").mapInArrow(frugal(_compared(percent)), "a long, b long")
     more = _links(written(near.distinct(), "near"), docs, percent)
     if not more.isEmpty():
         old, links = links, written(links.unionByName(more), "links")
         dropped(old, labels)
         labels = connected_components(links)
-    dropped(more, several, first)
+    dropped(more, several, rest, blocks, first)
     classes = reps.join(labels.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("h1", "h2", "n_shingles", "class_size", F.coalesce("comp", "rep").alias("comp"))
     out = every.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left")
-    return out.select(
-        "doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
+    out = written(
+        out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), (F.coalesce("comp", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")),
+        "components",
     )
+    dropped(every, reps, links, labels)
+    return out
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

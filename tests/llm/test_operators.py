@@ -66,20 +66,31 @@ def test_near_duplicates(docs, rows, spark, edge):
 
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 7])
 def test_near_duplicates_in_a_hot_bucket(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
     """Many texts that share a band but not enough, and chains, need the rounds after the first."""
     rng = np.random.default_rng(1)
     base = [f"b{i}" for i in range(120)]
     src = []
-    for i in range(60):
+    for i in range(90):
         own = list(base)
         for k in rng.choice(120, int(rng.integers(0, 6)), replace=False):
             own[k] = f"x{i}_{k}"
-        src.append((i, " ".join(own)))
+        src.append((i, " ".join(own + [f"t{k}" for k in range(int(rng.integers(0, 60)) * (i % 3))])))
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     df = spark.createDataFrame(src, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == components(src)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of rows with one id the greatest text counts, whatever the order of rows; the others link nothing."""
+    text = lambda p: " ".join(f"{p}{k}" for k in range(40))
+    src = [(1, text("a"), "x"), (1, text("b"), "y"), (2, text("a"), "z"), (3, text("b"), "z"), (3, None, None), (None, text("a"), "n"), (4, text("b") + " b40", "q")]
+    want = components([(1, text("b")), (2, text("a")), (3, text("b")), (4, text("b") + " b40")])
+    for rows in (src, src[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, c0 string").repartition(5)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == want
+        assert sorted(tuple(r) for r in near_dedup.one_row_each(df).collect()) == [(1, text("b"), "y"), (2, text("a"), "z"), (3, text("b"), "z"), (4, text("b") + " b40", "q")]
+
+
 def test_bound_of_counts():
     counts = np.zeros((3, near_dedup.PARTS), np.uint8)
     counts[0, :100], counts[1, :90], counts[2, 0] = 1, 1, near_dedup.FULL
