@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, language, mixing, near_dedup
+from tallyforge.llm import decontamination, language, mixing, near_dedup, secrets
 from tallyforge.llm.scratch import dropped, written
 
 
@@ -19,26 +19,28 @@ NEAR_PERCENT = 80
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of documents linked at NEAR_PERCENT or more; rows without doc_id, which the mix could not draw, go."""
+    """The document with the smallest id of each group of documents linked at NEAR_PERCENT or more.
+
+    Of rows with one doc_id the one with the greatest text is the document; rows without doc_id, which the mix could not draw, go.
+    """
+    docs = near_dedup.one_row_each(docs)
     kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of benchmark items; a document of which no word stays goes."""
+    """Texts without the passages of benchmark items; a document of which no word stays, and one without a word, goes. Repeated rows are cut each."""
     out = decontamination.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike(r"[^ \t-\r]"))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret replaced by a mark."""
-    from tallyforge.llm import secrets
-
+    """Texts with every secret replaced by a mark; null and empty texts and repeated rows stay."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(shard, place, doc_id, text): the mixed corpus, whole copies and drawn blocks, shuffled within shards."""
+    """(shard, place, doc_id, text): the mixed corpus, drawn blocks shuffled within shards."""
     return mixing.mixed_texts(docs)
 
 
@@ -49,11 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table is dropped when the next one's is written. Empty tables give empty ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        docs = written(out, name)
+        old, docs = docs, written(out, name)
+        dropped(old)
     return docs
