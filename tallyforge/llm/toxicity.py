@@ -124,7 +124,8 @@ def scored(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Da
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text, ...); labels: (doc_id, toxic, ...).
 
     Null and empty texts, and texts without a letter, get the bias alone. Several labels of one document: the larger counts. Where
-    labels are missing or all alike, every score is 0. Repeated rows are judged each; other columns are not looked at.
+    labels are missing or all alike, every score is 0. Repeated rows and rows without doc_id are judged each; an empty table has no rows. Other
+    columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession, 1024)

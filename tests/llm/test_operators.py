@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, language, mixing, near_dedup, pii, secrets, substring_dedup, topk, toxicity, warc
+from tallyforge.llm import decontamination, fit, language, mixing, near_dedup, pii, secrets, substring_dedup, topk, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 #: Nulls, empty and blank texts, repeats, a very long word and a very long text; columns that operators could clash with.
@@ -345,12 +345,54 @@ def test_language(docs, spark, edge):
     assert {r.lang_pred for r in language.identified(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations():
-    own = language.Pieces([b"a", b"ab", b"b", b"ba"])
-    p = np.array([[0.1], [0.2], [0.3], [0.4], [0.0]])
-    buf = np.frombuffer(b"aba", np.uint8)
-    got = language.word_log_probabilities(buf, np.array([0]), np.array([3]), own, p)[0, 0]
-    assert np.isclose(np.exp(got), 0.1 * 0.3 * 0.1 + 0.2 * 0.1 + 0.1 * 0.4, rtol=1e-4)
+def brute_word(word, pieces, p):
+    """Log of the sum over all segmentations, with exact fractions' care for underflow left to logs."""
+    logs = [0.0] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        logs[j] = logs[j - 1] + np.log(language.FLOOR)
+        for k, x in enumerate(pieces):
+            if word[:j].endswith(x) and len(x) <= j:
+                logs[j] = np.logaddexp(logs[j], logs[j - len(x)] + np.log(p[k]))
+    return logs[-1]
+
+
+@pytest.mark.parametrize("part", [7, 64, 4096])
+def test_forward_sums_all_segmentations(monkeypatch, part):
+    """Words of any length, in parts of any size, shorter than a piece too; bytes outside all pieces; several languages."""
+    monkeypatch.setattr(language, "PART_BYTES", part)
+    pieces = sorted([b"a", b"ab", b"b", b"ba", b" a", b"abbaabbaabba", b" ab", b"c"])
+    own = language.Pieces(pieces)
+    rng = np.random.default_rng(part)
+    prob = np.vstack([rng.random((len(pieces), 2)) / 50, np.zeros(2)])
+    words = [b" aba", b" a", b" zz", b" abbaabbaabbaabbaabba", b" " + b"xyz" * 200, b" " + rng.choice(list(b"aabbcz"), 700).astype(np.uint8).tobytes(), b" b"]
+    length = np.array([len(w) for w in words])
+    got = language.word_log_probabilities(np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length, own, prob)
+    assert np.allclose(got, [[brute_word(w, pieces, prob[:, c]) for c in (0, 1)] for w in words], rtol=1e-9)
+
+
+def test_expected_uses():
+    """Forward-backward: expected uses are the derivative of a word's log probability by the log of a piece's."""
+    pieces = sorted([b"a", b"ab", b"b", b"ba", b" a", b"c"])
+    own = language.Pieces(pieces)
+    p = np.append(np.random.default_rng(1).random(6) / 9, 0)
+    word = b" abacabazabab" + b"abz" * 30
+    got = language._expected(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]), np.array([2.0]), own, p)
+    for k in range(6):
+        more = p.copy()
+        more[k] *= 1 + 1e-6
+        assert np.isclose(got[k], 2 * (brute_word(word, pieces, more) - brute_word(word, pieces, p)) / 1e-6, rtol=1e-4)
+
+
+def test_sample_is_spread_and_bounded(spark):
+    """At most so many of a label, a label of long texts only is passed over as such, and a third label is not crowded out."""
+    src = [(k, "word " * (3 if k % 10 else 50), "abc"[k % 3] if k % 3 < 2 or k < 900 else "a") for k in range(6000)] + [(None, "x", "a"), (7, None, "b")]
+    df = spark.createDataFrame(src, "doc_id long, text string, label string").repartition(6)
+    for labels in (None, df.select("doc_id", "label")):
+        got = fit.sampled_texts(df if labels is None else df.drop("label"), labels, 40, 100, 1000)
+        counts = {x: sum(r[1] == x for r in got) for x in "abc"}
+        assert counts == {"a": 40, "b": 40, "c": 40} and all(zlib.crc32(str(r[0]).encode()) % 3 != 1 and len(r[2]) <= 100 for r in got)
+        assert {r[1]: 1 for r in fit.sampled_texts(df if labels is None else df.drop("label"), labels, 40, 100, 50)} == {"a": 1, "b": 1, "c": 1}
+    assert fit.sampled_texts(df.limit(0), None, 40, 100, 1000) == []
 
 
 def test_toxicity(spark, edge):
