@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .scratch import frugal, small_batches, written
+from .scratch import dropped, frugal, small_batches, written
 
 WIDTH = 10
 #: Every SAMPLE-th text position has its suffix kept.
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
-#: Benchmark text sent to the executors at once; a larger benchmark is searched for in groups of items.
-GROUP_BYTES = 32 << 20
+#: Benchmark text that the driver holds and sends to the executors at once; a larger benchmark is searched for in groups of items, one after another.
+GROUP_BYTES = 8 << 20
 
 
 class WaveletMatrix:
@@ -89,15 +89,15 @@ class FMIndex:
         self.marked = np.concatenate([[0], np.cumsum(sa % SAMPLE == 0)])
         self.sampled = sa[sa % SAMPLE == 0]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that begin with each phrase (rows, left-aligned)."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        live = np.arange(len(phrases))
-        for k in range(phrases.shape[1]):
+    def search(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that begin with each phrase, words[start:start + length]."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for k in range(int(lengths.max(initial=0))):
             live = live[(lengths[live] > k) & (lo[live] < hi[live])]
             if not len(live):
                 break
-            c = phrases[live, lengths[live] - 1 - k]
+            c = words[starts[live] + lengths[live] - 1 - k].astype(np.int64)
             lo[live], hi[live] = self.before[c] + self.wave.rank(c, lo[live]), self.before[c] + self.wave.rank(c, hi[live])
         return lo, hi
 
@@ -117,10 +117,11 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct test phrases over vocabulary ids (2 and up), and the items that hold each."""
+    """Distinct test phrases as places in the items' words (vocabulary ids from 2 up), and the items that hold each: some 30 bytes a word."""
 
     vocabulary: np.ndarray  # sorted word hashes
-    rows: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     items_at: np.ndarray
     items: np.ndarray
@@ -132,17 +133,21 @@ def phrases_of(items: list[tuple[int, str]], width: int = WIDTH) -> Phrases | No
     if not len(starts):
         return None
     vocabulary, ids = np.unique(tk.word_hashes(buf, starts, ends, lower=True), return_inverse=True)
-    found: dict[tuple, set] = {}
-    for i, (item, _) in enumerate(items):
-        own = tuple((ids[at[i] : at[i + 1]] + 2).tolist())
-        for k in range(max(len(own) - width + 1, min(len(own), 1))):
-            found.setdefault(own[k : k + width], set()).add(item)
-    rows = np.zeros((len(found), width), np.int64)
-    lengths = np.array([len(p) for p in found])
-    for i, p in enumerate(found):
-        rows[i, : len(p)] = p
-    sizes = [len(s) for s in found.values()]
-    return Phrases(vocabulary, rows, lengths, np.concatenate([[0], np.cumsum(sizes)]), np.array([x for s in found.values() for x in sorted(s)], np.int64))
+    words = (ids + 2).astype(np.int32)
+    size = np.diff(at)
+    n = np.where(size >= width, size - width + 1, (size > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(items)), n)
+    start = np.repeat(at[:-1], n) + tk.ramp(n)
+    length = np.minimum(size, width)[owner]
+    rows = np.zeros((len(start), width), np.int32)
+    for k in range(width):
+        held = length > k
+        rows[held, k] = words[start[held] + k]
+    _, first, phrase = np.unique(rows.view(f"V{4 * width}").ravel(), return_index=True, return_inverse=True)
+    del rows
+    numbers = np.array([i for i, _ in items], np.int64)
+    pair = np.unique(np.stack([phrase.ravel(), numbers[owner]]), axis=1)
+    return Phrases(vocabulary, words, start[first], length[first], np.searchsorted(pair[0], np.arange(len(first) + 1)), pair[1])
 
 
 def occurrences(ids: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +173,7 @@ def occurrences(ids: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.n
     where[place] = np.repeat(a, size) + tk.ramp(size)
     text[place] = ids[where[place]]
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    lo, hi = index.search(phrases.rows, phrases.lengths)
+    lo, hi = index.search(phrases.words, phrases.starts, phrases.lengths)
     count = np.maximum(hi - lo, 0)
     phrase = np.repeat(np.arange(len(lo)), count)
     return phrase, where[index.locate(np.repeat(lo, count) + tk.ramp(count))]
@@ -235,7 +240,8 @@ def _scan(phrases: Phrases | None, clean: bool):
     return run
 
 
-def _groups(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def _groups(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in groups of about GROUP_BYTES by their hash; an item alone is never split."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
     n = int(size // GROUP_BYTES) + 1
@@ -245,10 +251,8 @@ def _groups(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,end:long>>, items array<long>"
 
 
-def _ordered(docs: DataFrame, benchmark: DataFrame):
-    for group in _groups(benchmark):
-        rows = sorted((r.item_id, r.text) for r in group.collect())
-        yield phrases_of(rows)
+def _phrases(group: DataFrame) -> Phrases | None:
+    return phrases_of(sorted((r.item_id, r.text) for r in group.collect()))
 
 
 #: Overlapping and touching spans of several groups as one.
@@ -258,16 +262,22 @@ MERGED = """aggregate(s, cast(array() as array<struct<first:bigint,end:bigint>>)
            concat(acc, array(x))))"""
 
 
-def _found_in_groups(docs: DataFrame, groups: list[Phrases | None]) -> tuple[DataFrame, DataFrame]:
-    """(row, docs' columns), written, and (row, n_words, spans, items): each group is searched for in the text as it was given."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given")), "rows")
-    texts = rows.select("_row", F.col("_given.text").cast("string").alias("text"))
-    every = None
-    for p in groups:
-        part = texts.mapInArrow(frugal(_scan(p, False)), SCHEMA)
-        every = part if every is None else every.unionByName(part)
+def _found_in_groups(docs: DataFrame, groups: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(row, docs' columns), written, and (row, n_words, spans, items): each group is searched for in the text as it was given.
+
+    The driver holds one group's phrases at a time; of a group, only rows with a hit are written, and the first one's counts of words.
+    """
+    given = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"), F.struct(*given).alias("_given")), "rows")
+    texts = rows.select("_row", "_text")
+    parts = [written(texts.mapInArrow(frugal(_scan(_phrases(g), False)), SCHEMA).filter(F.lit(k == 0) | (F.size("items") > 0)), "hits") for k, g in enumerate(groups)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
     every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows, every.select(F.col("doc_id").alias("_row"), "n_words", F.expr(MERGED).alias("spans"), "items")
+    found = written(every.select(F.col("doc_id").alias("_row"), "n_words", F.expr(MERGED).alias("spans"), "items"), "found")
+    dropped(*parts)
+    return rows, found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -275,25 +285,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     spans: merged word ranges inside occurrences of windows; items: ids of items with an occurring window. Null and
     empty texts have no words. An item without words or id has no window; items with equal ids count once. Repeated
-    rows of docs, and rows without doc_id, are judged each. Other columns are not looked at.
+    rows of docs, and rows without doc_id, are judged each; without an item nothing is hit, and an empty table has no rows. Other columns
+    are not looked at. Results are the same however many groups the items make.
     """
     small_batches(docs.sparkSession, 1024)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = list(_ordered(docs, benchmark))
+    groups = _groups(benchmark)
     if len(groups) == 1:
-        return docs.mapInArrow(frugal(_scan(groups[0], False)), SCHEMA)
+        return docs.mapInArrow(frugal(_scan(_phrases(groups[0]), False)), SCHEMA)
     rows, found = _found_in_groups(docs, groups)
-    return rows.select("_row", "_given.doc_id").join(found, "_row").select("doc_id", "n_words", "spans", "items")
+    return rows.select("_row", F.col("_given.c0").alias("doc_id")).join(found, "_row").select("doc_id", "n_words", "spans", "items")
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with every span that contaminated finds cut from the text; other columns stay."""
+    """docs(text, ...) with every span that contaminated finds cut from the text.
+
+    Rows and their number, null and empty texts and all other columns stay, whatever their names; repeated rows are cut each. A text of which
+    nothing is hit stays as it is.
+    """
     small_batches(docs.sparkSession, 1024)
-    groups = list(_ordered(docs, benchmark))
+    groups = _groups(benchmark)
     if len(groups) == 1:
-        return docs.mapInArrow(frugal(_cleaner(groups[0], docs.columns)), docs.schema)
+        return docs.mapInArrow(frugal(_cleaner(_phrases(groups[0]), docs.columns)), docs.schema)
     rows, found = _found_in_groups(docs, groups)
-    marked = rows.join(found.select("_row", "spans"), "_row").select("_given.*", F.col("spans").alias("_spans"))
+    marked = rows.join(found.select("_row", "spans"), "_row").select(*[F.col(f"_given.c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("spans").alias("_spans"))
     return marked.mapInArrow(frugal(_cutter(docs.columns)), docs.schema)
 
 
@@ -320,13 +335,13 @@ def _cutter(columns: list[str]):
 
 def _cleaner(phrases: Phrases | None, columns: list[str]):
     scan = _scan(phrases, True)
-    i, t = columns.index("doc_id"), columns.index("text")
+    t = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            got = list(scan(iter([pa.RecordBatch.from_arrays([batch.column(i), batch.column(t)], ["doc_id", "text"])])))
+            got = list(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(t)], ["doc_id", "text"])])))
             text = pa.concat_arrays([x.column(4) for x in got])
             yield pa.RecordBatch.from_arrays([text if k == t else batch.column(k) for k in range(len(columns))], columns)
 

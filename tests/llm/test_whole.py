@@ -53,7 +53,7 @@ def test_benchmark_of_several_groups(spark, monkeypatch):
     left = lambda: sorted((tuple(r) for r in decontamination.cleaned(docs, bench).collect()), key=str)
     one, rest = found(), left()
     assert len(one) == len(rest) == len(src) and (1, "a0 a1 a2 a3 a4  b0 b1 b2 b3 b4", "de") in rest
-    for size in (300, 60, 20):
+    for size in (300, 60):
         monkeypatch.setattr(decontamination, "GROUP_BYTES", size)
         assert len(decontamination._groups(bench)) >= 2
         assert found() == one and left() == rest
