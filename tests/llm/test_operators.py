@@ -123,11 +123,32 @@ def test_repeated_passages(docs, rows, spark, edge):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(df).collect()} == brute_removed(src)
 
 
+def test_descriptions_tell_windows_apart():
+    """Equal windows have equal descriptions wherever they lie, others have others: texts of few words, full of runs, and stretches of any size."""
+    rng = np.random.default_rng(2)
+    for kinds, size in ((2, 6), (2, 20), (3, 20), (40, 20), (3, 33)):
+        texts = [rng.choice(kinds, int(rng.integers(1, 90))) for _ in range(120)]
+        texts += [np.repeat(rng.choice(kinds, 30), rng.integers(1, 5, 30)) for _ in range(60)] + [np.concatenate([texts[0], texts[1], texts[0]])]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        flat = np.concatenate(texts)
+        words = substring_dedup.tk.mixed(flat.astype(np.uint64) + np.uint64(99))
+        s = substring_dedup.all_windows(at, size)
+        one, two = substring_dedup.descriptions(substring_dedup.Levels(words, at), s, s + size)
+        real = [tuple(flat[k : k + size].tolist()) for k in s]
+        for got in (one.tolist(), two.tolist()):
+            assert len(set(zip(real, got, strict=True))) == len(set(real)) == len(set(got))
+        key, _ = substring_dedup.high_symbols(substring_dedup.Levels(words, at), s, s + size)
+        assert len(set(zip(real, key.tolist(), strict=True))) == len(set(real))
+
+
 def test_repeats_of_runs(spark):
     src = [(1, "na " * 50), (2, "na " * 30 + "x"), (3, "ab " * 9 + "ab cd " * 15), (4, "cd ab " * 12), (5, " ".join(map(str, range(60)))), (6, "q " + " ".join(map(str, range(25, 50))) + " z")]
     df = spark.createDataFrame(src, "doc_id long, text string")
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(df).collect()} == brute_removed(src)
     assert {r.doc_id: r.text for r in substring_dedup.deduplicated(df).collect()}[6] == "q z"
+    more = df.unionByName(spark.createDataFrame([(6, None), (None, "na " * 60), (6, "a " * 30)], df.schema))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(more).collect()} == brute_removed(src)
+    assert {r.doc_id: r.text for r in substring_dedup.deduplicated(more).collect()}[6] == "q z"
 
 
 def test_decontamination(docs, rows, spark, edge):
@@ -529,6 +550,33 @@ def test_split_quotas_law():
     assert abs(z.mean()) < 0.08 and abs(z.var() - 1) < 0.12 and abs((z**3).mean()) < 0.25
 
 
-@pytest.mark.parametrize("op", [near_dedup.near_duplicates, substring_dedup.removed, secrets.found, pii.found, language.identified])
-def test_empty_table(op, edge):
-    assert op(edge.limit(0)).count() == 0
+EVERY = {
+    "op1": lambda d: toxicity.scored(d, d.sparkSession.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int")),
+    "op2": near_dedup.near_duplicates,
+    "op3": substring_dedup.removed,
+    "op4": lambda d: warc.archived(d.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit(None))),
+    "op5": pii.found,
+    "op6": language.identified,
+    "op8": secrets.found,
+    "op9": lambda d: decontamination.contaminated(d, d.sparkSession.createDataFrame([(1, "two three")], "item_id long, text string")),
+    "op10": mixing.mixed,
+}
+
+
+@pytest.mark.parametrize("op", EVERY)
+def test_empty_tables_and_clashing_columns(op, spark, edge):
+    """No row gives none; columns named as what an operator makes change nothing."""
+    run = EVERY[op]
+    assert run(edge.limit(0)).count() == 0
+    clash = edge
+    for k, name in enumerate(("score", "label", "spans", "base", "tokens", "items", "bands", "sig", "key", "rep", "comp", "n", "size", "block", "words", "shard", "runs", "name", "start", "given", "_row", "digest", "kept", "s", "source_size")):
+        clash = clash.withColumn(name, F.lit(k))
+    rows = lambda df: sorted((str(r) for r in df.drop("payload", "sig").collect()))
+    assert rows(run(clash)) == rows(run(edge))
+
+
+def test_empty_benchmark(spark, edge):
+    none = spark.createDataFrame([], "item_id long, text string")
+    got = decontamination.digest(decontamination.contaminated(edge, none)).collect()
+    assert len(got) == len(EDGE) and not any(r.contaminated or r.n_items for r in got)
+    assert sorted(map(str, decontamination.cleaned(edge, none).collect())) == sorted(map(str, edge.collect()))
