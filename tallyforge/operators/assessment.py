@@ -79,6 +79,13 @@ def core_fields(documents: DataFrame, teams: DataFrame, players: DataFrame, foul
     return rows.select(*keys, F.inline(F.array(*fields)))
 
 
-def document_status(fields: DataFrame) -> DataFrame:
-    """(document_id, status, n_open): the worst status of a document's core fields, and how many are not accepted."""
-    return fields.groupBy("document_id").agg(_worst("status").alias("status"), F.count_if(F.col("status") != "accepted").alias("n_open"))
+def document_status(fields: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """(document_id, status, n_open): the worst status of a document's core fields, and how many are not accepted.
+
+    warnings: (document_id, warnings); a document with any is not accepted.
+    """
+    out = fields.groupBy("document_id").agg(F.max(severity(F.col("status"))).alias("worst"), F.count_if(F.col("status") != "accepted").alias("n_open"))
+    if warnings is not None:
+        warned = warnings.filter(F.size("warnings") > 0).select("document_id", F.lit(1).alias("warned"))
+        out = out.join(warned, "document_id", "left").withColumn("worst", F.greatest("worst", F.coalesce("warned", F.lit(0))))
+    return out.select("document_id", status_of(F.col("worst")).alias("status"), "n_open")

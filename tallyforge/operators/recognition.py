@@ -24,8 +24,10 @@ def constrained(rows: DataFrame, candidates: str = "candidates", allowed: str =
     kept = normalised(F.filter(candidates, lambda c: F.array_contains(allowed, c["label"])))
     r = rows.withColumn("ranked", top_ten(kept))
     best = F.when(F.size("ranked") > 0, F.element_at("ranked", 1))
-    r = r.withColumn("value", best["label"]).withColumn("value_confidence", F.coalesce(best["probability"], F.lit(0.0)))
-    return r.withColumn("value_status", F.when(F.col("value").isNotNull() & (F.col("value_confidence") >= ACCEPT), "accepted").otherwise("review"))
+    p = F.coalesce(best["probability"], F.lit(0.0))
+    # The confidence that is told is rounded, halves to even; what is accepted is not.
+    status = F.when(best.isNotNull() & (p >= ACCEPT), "accepted").otherwise("review")
+    return r.withColumn("value", best["label"]).withColumn("value_status", status).withColumn("value_confidence", F.bround(p, 4))
 
 
 def reweighted(candidates: Column, priors: Column, samples: Column) -> Column:

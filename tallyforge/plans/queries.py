@@ -50,9 +50,9 @@ def periods(spark: SparkSession, d: str) -> DataFrame:
 @query("game_ledger", f"""SELECT e.document_id, e.side, CAST(period AS BIGINT) AS period, COUNT(*) AS n_events, CAST(SUM(points) AS BIGINT) AS score, COUNT(*) FILTER (WHERE COALESCE(jump, false)) AS n_jumps,
   COUNT(*) FILTER (WHERE jersey IS NULL) AS n_unresolved FROM {PERIODS} e LEFT JOIN {JUMPS} j ON e.event_id = j.event_id GROUP BY ALL""")
 def game_ledger(spark, d):
-    e = periods(spark, d)
-    j = od.reconcile_delta(e).select("event_id", "jump")
-    return e.join(j, "event_id", "left").groupBy("document_id", "side", "period").agg(F.count(F.lit(1)).alias("n_events"), F.sum("points").alias("score"), F.count_if(F.coalesce("jump", F.lit(False))).alias("n_jumps"), F.count_if(F.col("jersey").isNull()).alias("n_unresolved"))
+    # Jumps and periods share one window's partitioning.
+    e = od.color_run_periods(od.with_jumps(bridge(spark, d, "scoring_events")))
+    return e.groupBy("document_id", "side", "period").agg(F.count(F.lit(1)).alias("n_events"), F.sum("points").alias("score"), F.count_if(F.coalesce("jump", F.lit(False))).alias("n_jumps"), F.count_if(F.col("jersey").isNull()).alias("n_unresolved"))
 
 
 @query("wn1_plausible_sequence", f"""SELECT event_id, CAST(delta AS BIGINT) AS delta, CASE WHEN delta NOT BETWEEN 1 AND 3 OR (points > 0 AND points <> delta) THEN 'review' ELSE status END AS status,
@@ -76,7 +76,7 @@ STATUS = f"""(SELECT e.*, r.jersey AS on_roster, j.jump FROM {PERIODS} e LEFT JO
 
 
 @query("wn4_event_status", f"""SELECT event_id, CASE WHEN points <= 0 OR shot_type = 'ambiguous' THEN 'review' WHEN jersey IS NULL THEN 'unresolved' WHEN on_roster IS NULL THEN 'review'
-  WHEN period IS NULL THEN 'unresolved' WHEN jump THEN 'review' WHEN period IS NULL THEN 'review' ELSE status END AS final_status FROM {STATUS} s""")
+  WHEN period IS NULL THEN 'unresolved' WHEN jump THEN 'review' ELSE status END AS final_status FROM {STATUS} s""")
 def wn4(spark, d):
     return rec.event_status(periods(spark, d), bridge(spark, d, "players")).select("event_id", "final_status")
 
@@ -94,12 +94,12 @@ def wn7(spark, d):
     return od.roster_duplicates(rows).select("document_id", "side", "row_no", "row_status")
 
 
-@query("wn8_runs", f"""SELECT cell, MIN(x) AS first_value, MAX(x) AS last_value, COUNT(*) AS n FROM (SELECT cell, x, x - ROW_NUMBER() OVER (PARTITION BY cell ORDER BY x) AS i FROM (SELECT DISTINCT cell, x FROM {PX} p) a) b GROUP BY cell, i""")
+@query("wn8_runs", f"""SELECT cell, MIN(x) AS first_value, MAX(x) AS last_value, COUNT(*) AS n, CAST(round_even((MIN(x) + MAX(x)) / 2.0, 0) AS BIGINT) AS center FROM (SELECT cell, x, x - ROW_NUMBER() OVER (PARTITION BY cell ORDER BY x) AS i FROM (SELECT DISTINCT cell, x FROM {PX} p) a) b GROUP BY cell, i""")
 def wn8(spark, d):
     return od.runs(bridge(spark, d, "pixels"), "x", ("cell",))
 
 
-@query("wn9_gap_clusters", f"""SELECT cell, CAST(c AS BIGINT) AS cluster, COUNT(*) AS n, MIN(x) AS low, MAX(x) AS high, CAST(SUM(x) AS BIGINT) AS total FROM (
+@query("wn9_gap_clusters", f"""SELECT cell, CAST(c AS BIGINT) AS cluster, COUNT(*) AS n, MIN(x) AS low, MAX(x) AS high, CAST(SUM(x) AS BIGINT) AS total, CAST(round_even(MEDIAN(x), 0) AS BIGINT) AS center FROM (
   SELECT cell, x, SUM(g) OVER (PARTITION BY cell ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM (SELECT cell, x, CASE WHEN x - LAG(x) OVER (PARTITION BY cell ORDER BY x) > 4 THEN 1 ELSE 0 END AS g FROM {PX} p) a) b GROUP BY cell, c""")
 def wn9(spark, d):
     return od.gap_clusters(bridge(spark, d, "pixels"), "x", 4, ("cell",))
@@ -112,7 +112,7 @@ def wn11(spark, d):
     return od.latest_annotation(t).select("conv_id", F.col("latest.turn").alias("latest"))
 
 
-@query("wn12_local_maxima", f"""SELECT cell, pos, value FROM (SELECT *, MAX(value) OVER (PARTITION BY cell ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM (
+@query("wn12_local_maxima", f"""SELECT cell, pos, value FROM (SELECT *, MAX(value) OVER (PARTITION BY cell ORDER BY pos RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM (
   SELECT cell, x AS pos, CAST(COUNT(*) AS BIGINT) AS value FROM {PX} p GROUP BY cell, x) a) b WHERE value >= 1 AND value >= m""")
 def wn12(spark, d):
     return od.local_maxima(bridge(spark, d, "pixels").groupBy("cell", F.col("x").alias("pos")).agg(F.count(F.lit(1)).alias("value")), 1, ("cell",))
@@ -184,6 +184,77 @@ def ag11(spark, d):
     return rec.starters_warnings(bridge(spark, d, "players"))
 
 
+@query("wn6_terminals", f"SELECT document_id, side, jersey, slot, ink_color FROM (SELECT *, MIN(CASE WHEN symbol = 'F' THEN slot END) OVER (PARTITION BY document_id, side, jersey) AS t FROM {FO} f) x WHERE slot = t")
+def wn6t(spark, d):
+    return od.terminals(bridge(spark, d, "foul_cells")).select("document_id", "side", "jersey", "slot", "ink_color")
+
+
+@query("jn1_assigned_fouls", f"SELECT f.document_id, f.side, f.jersey, f.slot, p.row_no FROM {FO} f JOIN (SELECT * FROM {PL} q WHERE (document_id + row_no) % 5 <> 0) p ON f.document_id = p.document_id AND f.side = p.side AND f.jersey = p.jersey")
+def jn1(spark, d):
+    return rec.assigned_fouls(bridge(spark, d, "players").filter("(document_id + row_no) % 5 <> 0"), bridge(spark, d, "foul_cells")).select("document_id", "side", "jersey", "slot", "row_no")
+
+
+WARNED = f"""SELECT event_id, CASE WHEN points <= 0 OR shot_type = 'ambiguous' THEN 'Score ' || running_score || ': ambiguous shot type' ELSE concat_ws(';', CASE WHEN jump THEN 'Score ' || running_score || ': jump of ' || delta || ' is incompatible with a ' || points || '-point event' END,
+  CASE WHEN period IS NULL THEN 'Score ' || running_score || ': period is unresolved' END, CASE WHEN jersey IS NULL THEN 'Score ' || running_score || ': jersey is unresolved' WHEN on_roster IS NULL THEN 'Score ' || running_score || ': jersey ' || jersey || ' is not in the supplied roster' END) END AS said
+  FROM (SELECT e.*, r.jersey AS on_roster, j.jump, j.delta FROM {PERIODS} e LEFT JOIN (SELECT event_id, points <> running_score - COALESCE(LAG(running_score) OVER ({BY}), 0) AS jump, running_score - COALESCE(LAG(running_score) OVER ({BY}), 0) AS delta FROM {EV} b WHERE points > 0 AND shot_type <> 'ambiguous') j
+  ON e.event_id = j.event_id LEFT JOIN {PL} r ON e.document_id = r.document_id AND e.side = r.side AND e.jersey = r.jersey) s"""
+
+
+def statused(spark, d) -> DataFrame:
+    return rec.event_status(periods(spark, d), bridge(spark, d, "players"))
+
+
+@query("wn4_warnings", WARNED)
+def wn4w(spark, d):
+    return statused(spark, d).select("event_id", F.array_join("warnings", ";").alias("said"))
+
+
+FINALS = "SELECT DISTINCT document_id, side, CASE WHEN document_id % 4 = 0 THEN NULL ELSE document_id % 50 END AS written_final FROM {written} w"
+
+
+def finals(spark, d) -> DataFrame:
+    return spark.sql(FINALS, written=bridge(spark, d, "written_scores"))
+
+
+def scored_players(spark, d) -> DataFrame:
+    p = bridge(spark, d, "players")
+    return p.join(rec.box_score(bridge(spark, d, "scoring_events"), p).select("document_id", "side", "jersey", "points"), ["document_id", "side", "jersey"])
+
+
+def validated(spark, d) -> DataFrame:
+    w = bridge(spark, d, "written_scores")
+    spine = rec.period_spine(rec.period_scores(periods(spark, d)), w, w)
+    return rec.validation_warnings(finals(spark, d), scored_players(spark, d), bridge(spark, d, "foul_cells"), bridge(spark, d, "scoring_events"), spine)
+
+
+AG1, AG3, AG4 = (ORACLE_SQL[k] for k in ("ag1_box_score", "ag3_period_spine", "ag4_calculated_score"))
+VALIDATED = f"""(SELECT document_id, side, 1 AS rule, 0 AS place, 'Detected ' || COUNT(*) FILTER (WHERE starter) || ' starters; expected 5' AS text FROM {PL} p GROUP BY document_id, side HAVING COUNT(*) FILTER (WHERE starter) <> 5
+  UNION ALL SELECT document_id, side, 2, row_no * 2, 'Jersey ' || jersey || ': starter without participation' FROM {PL} p WHERE starter AND NOT participated
+  UNION ALL SELECT p.document_id, p.side, 2, p.row_no * 2 + 1, 'Jersey ' || p.jersey || ': has a game event without a participation mark' FROM {PL} p JOIN ({AG1}) a USING (document_id, side, jersey)
+    WHERE NOT participated AND (a.points > 0 OR EXISTS (SELECT 1 FROM {FO} f WHERE f.document_id = p.document_id AND f.side = p.side AND f.jersey = p.jersey))
+  UNION ALL SELECT document_id, side, 4, 0, 'Calculated score (' || c.calculated || ') differs from written score (' || w.written_final || ')' FROM ({AG4}) c JOIN ({FINALS.format(written=WR)}) w USING (document_id, side) WHERE c.calculated <> w.written_final
+  UNION ALL SELECT document_id, side, 5, period, 'Q' || period || ': calculated period score (' || score || ') differs from written score (' || written || ')' FROM ({AG3}) s WHERE score <> written)"""
+
+
+@query("ag11_validation", f"SELECT document_id, side, rule, CAST(place AS BIGINT) AS place, text FROM {VALIDATED} v")
+def ag11v(spark, d):
+    return validated(spark, d).select("document_id", "side", "ord.rule", "ord.place", "text")
+
+
+SIDE_WARNINGS = f"""(SELECT document_id, side, string_agg(said, ';' ORDER BY a, b, c) AS warnings FROM (SELECT e.document_id, e.side, 0 AS a, e.running_score AS b, e.seq AS c, w.said FROM {EV} e JOIN ({WARNED}) w ON e.event_id = w.event_id WHERE said <> ''
+  UNION ALL SELECT document_id, side, 1, period, 0, 'Q' || period || ': derived team fouls (' || fouls || ') differ from the X boxes (' || x_count || ')' FROM ({ORACLE_SQL["jn4_foul_mismatch"]}) m
+  UNION ALL SELECT document_id, side, 2, rule, place, text FROM {VALIDATED} v) u GROUP BY document_id, side)"""
+
+
+def warnings_of_sides(spark, d) -> DataFrame:
+    return rec.side_warnings(statused(spark, d), jn4(spark, d), validated(spark, d))
+
+
+@query("st8_side_warnings", f"SELECT * FROM {SIDE_WARNINGS} s")
+def st8(spark, d):
+    return warnings_of_sides(spark, d).withColumn("warnings", F.array_join("warnings", ";"))
+
+
 @query("sc8_foul_symbol", f"""SELECT document_id, side, jersey, slot, CASE WHEN s = 'F' THEN 'unknown' WHEN s LIKE 'P%' THEN 'personal' WHEN s LIKE 'T%' THEN 'technical' WHEN s LIKE 'U%' THEN 'unsportsmanlike' ELSE 'disqualifying' END AS kind,
   CASE WHEN s LIKE '%1' THEN 1 WHEN s LIKE '%2' THEN 2 WHEN s LIKE '%3' THEN 3 END AS free_throws, s IN ('PC', 'TC', 'UC', 'DC') AS cancelled, s = 'GD' AS fighting, s NOT IN ('F', 'PC', 'TC', 'UC', 'DC', 'GD') AS counts
   FROM (SELECT *, UPPER(REPLACE(TRIM(symbol), ' ', '')) AS s FROM {FO} f) x""")
@@ -218,9 +289,20 @@ def ag13c(spark, d):
     return ev.chosen_threshold(ev.sweep(bridge(spark, d, "predictions"), "field_type"), 0.3, 0.1, "field_type")
 
 
-@query("ag14_sliced", " UNION ALL ".join(f"SELECT '{n}' AS slice, {v} AS value, {MET} FROM {PR} p GROUP BY 2" for n, v in (("all", "'*'"), ("field_type", "field_type"), ("capture", "capture"), ("writer_known", "CASE WHEN writer_known THEN 'yes' ELSE 'no' END"), ("writer_seen", "CASE WHEN writer_seen THEN 'yes' ELSE 'no' END"))))
+CHOICE = ORACLE_SQL["ag13_choice"]
+OWN = MET.replace("confidence >= 0.5", "confidence >= threshold")
+
+
+@query("ag14_sliced", f"SELECT 'field_type' AS slice, p.field_type AS value, {OWN} FROM {PR} p JOIN ({CHOICE}) c ON p.field_type = c.field_type GROUP BY 2 UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{n}' AS slice, {v} AS value, {MET} FROM {PR} p GROUP BY 2" for n, v in (("all", "'*'"), ("capture", "capture"), ("writer_known", "CASE WHEN writer_known THEN 'yes' ELSE 'no' END"), ("writer_seen", "CASE WHEN writer_seen THEN 'yes' ELSE 'no' END"))))
 def ag14(spark, d):
-    return ev.sliced(bridge(spark, d, "predictions"), 0.5)
+    p = bridge(spark, d, "predictions")
+    return ev.sliced(p, 0.5, ev.chosen_threshold(ev.sweep(p, "field_type"), 0.3, 0.1, "field_type"))
+
+
+@query("ag16_by_writer", f"SELECT CASE WHEN writer_known THEN 'known_writer' ELSE 'unknown_writer' END AS writer, {MET} FROM {PR} p GROUP BY 1")
+def ag16(spark, d):
+    return ev.by_writer(bridge(spark, d, "predictions"), 0.5).drop("reviewed", "review_rate")
 
 
 @query("ag15_states", f"SELECT capture, COUNT(*) FILTER (WHERE {ACC}) AS accepted, COUNT(*) FILTER (WHERE predicted IS NOT NULL AND confidence < 0.5) AS review, COUNT(*) FILTER (WHERE predicted IS NULL) AS unresolved, COUNT(predicted) / COUNT(*) AS coverage FROM {PR} p GROUP BY capture")
@@ -302,7 +384,7 @@ def ag26(spark, d):
     return px.elongation(bridge(spark, d, "pixels"))
 
 
-@query("ml1_constrain", """SELECT vec_id, value, w / s AS value_confidence, CASE WHEN w / s >= 0.7 THEN 'accepted' ELSE 'review' END AS value_status FROM (SELECT vec_id, i AS value, w, SUM(w) OVER (PARTITION BY vec_id) AS s, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY w DESC, i) AS r FROM (
+@query("ml1_constrain", """SELECT vec_id, value, round_even(w / s, 4) AS value_confidence, CASE WHEN w / s >= 0.7 THEN 'accepted' ELSE 'review' END AS value_status FROM (SELECT vec_id, i AS value, w, SUM(w) OVER (PARTITION BY vec_id) AS s, ROW_NUMBER() OVER (PARTITION BY vec_id ORDER BY w DESC, i) AS r FROM (
   SELECT vec_id, CAST(g.i AS BIGINT) AS i, FLOOR(ABS(CAST(embedding[g.i + 1] AS DOUBLE)) * 1000) AS w FROM embeddings, (SELECT UNNEST([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS i) g WHERE (vec_id + g.i) % 3 <> 0) x) y WHERE r = 1""")
 def ml1(spark, d):
     e = bridge(spark, d, "candidates")
@@ -361,3 +443,17 @@ def core_fields(spark, d):
 @query("core_document_status", f"SELECT document_id, {_OPEN.format('MAX(z)')} AS status, COUNT(*) FILTER (WHERE z > 0) AS n_open FROM (SELECT document_id, CASE status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 ELSE 2 END AS z FROM ({CORE_FIELDS}) c) k GROUP BY document_id")
 def core_document_status(spark, d):
     return asm.document_status(core_fields(spark, d))
+
+
+# Half of the documents' warnings only, so that both outcomes occur.
+@query("ag10_status", f"""SELECT document_id, CASE WHEN worst = 2 THEN 'unresolved' WHEN worst = 1 OR warned THEN 'review' ELSE 'accepted' END AS status FROM (SELECT document_id, MAX(z) AS worst, BOOL_OR(w.document_id IS NOT NULL) AS warned
+  FROM (SELECT document_id, CASE WHEN document_id % 3 = 0 OR status = 'accepted' THEN 0 WHEN status = 'review' THEN 1 ELSE 2 END AS z FROM ({CORE_FIELDS}) c) k LEFT JOIN (SELECT DISTINCT document_id FROM {SIDE_WARNINGS} s WHERE document_id % 2 = 0) w USING (document_id) GROUP BY document_id) x""")
+def ag10(spark, d):
+    fields = core_fields(spark, d).withColumn("status", F.when(F.col("document_id") % 3 == 0, "accepted").otherwise(F.col("status")))
+    return asm.document_status(fields, rec.document_warnings(warnings_of_sides(spark, d).filter("document_id % 2 = 0"))).drop("n_open")
+
+
+@query("ag10_team_status", f"""SELECT document_id, side, {_OPEN.format('GREATEST(worst, CASE WHEN w.warnings IS NULL THEN 0 ELSE 1 END)')} AS status FROM (SELECT document_id, side, MAX(CASE status WHEN 'accepted' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) AS worst
+  FROM ({CORE_FIELDS}) c GROUP BY 1, 2) f LEFT JOIN {SIDE_WARNINGS} w USING (document_id, side)""")
+def ag10t(spark, d):
+    return rec.team_status(bridge(spark, d, "players"), warnings_of_sides(spark, d), core_fields(spark, d))
