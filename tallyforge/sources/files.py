@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import scalars as sc
+
 # What an archive's entries may be.
 SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png")
 
@@ -50,22 +53,71 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 for info in archive.infolist():
-                    name = PurePosixPath(info.filename.replace("\\", "/"))
-                    if info.is_dir() or name.suffix.lower() not in SUFFIXES:
-                        continue
-                    if name.is_absolute() or ".." in name.parts or len(name.parts) < 2:
-                        raise ValueError(f"unsafe entry in {path}: {info.filename}")
-                    # One entry is held at a time.
-                    yield pd.DataFrame({"archive": [path], "entry": [str(name)], "category": [name.parts[-2]], "extension": [name.suffix.lower()[1:]], "content": [archive.read(info)]})
+                    if not info.is_dir() and info.filename.lower().endswith(SUFFIXES):
+                        # One entry is held at a time.
+                        yield pd.DataFrame({"archive": [path], "entry": [info.filename], "content": [archive.read(info)]})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, entry, category, extension, content) of scans in ZIP archives; an archive is one task's.
+    """(archive, entry, category, extension, content) of scans in ZIP archives; an archive, of at most 2 GB, is one task's.
 
     The category is the entry's folder. An absolute path, one that climbs, or one without a folder fails the read.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_entries, "archive string, entry string, category string, extension string, content binary")
+    entries = files.mapInPandas(_entries, "archive string, entry string, content binary")
+    extension = F.lower(F.regexp_extract("entry", r"\.([^.]*)$", 1))
+    return entries.select("archive", F.translate("entry", "\\", "/").alias("entry"), sc.category_of(F.col("entry")).alias("category"), extension.alias("extension"), "content")
+
+
+def ingested(entries: DataFrame, read: Callable[[bytes], tuple[int, int, str, bool]] | None = None) -> DataFrame:
+    """Catalogue rows of read_archives: id, names, hash, size, page count, image size, alignment and status.
+
+    read(content) gives (width, height, alignment method, border found) of an image, or raises: then the row is unreadable and keeps the
+    error. Without it every row is one of an image that could not be read.
+    """
+    outcome = "width int, height int, alignment_method string, used_perspective_warp boolean, error string"
+
+    @F.pandas_udf(outcome)
+    def seen(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in content:
+            try:
+                if read is None:
+                    raise RuntimeError("no image reader was given")
+                rows.append((*read(raw), None))
+            except Exception as e:  # an unreadable page is a result
+                rows.append((None, None, None, None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in outcome.split(", ")])
+
+    sha = F.sha2("content", 256)
+    stem = F.regexp_replace(F.element_at(F.split("entry", "/"), -1), r"\.[^.]*$", "")
+    e = entries.withColumn("seen", seen("content")).withColumn("sha256", sha).withColumn("document_id", sc.document_id(F.col("category"), stem, sha))
+    suffix, category = F.concat(F.lit("."), F.col("extension")), sc.slug(F.col("category"))
+    return e.select(
+        "document_id", F.col("entry").alias("original_name"), F.concat(F.lit("source/"), category, F.lit("/"), F.col("document_id"), suffix).alias("source_path"), category.alias("category"), suffix.alias("extension"), "sha256",
+        F.octet_length("content").cast("long").alias("size_bytes"), F.when(F.col("extension") != "pdf", 1).alias("page_count"), F.col("seen.width").alias("image_width"), F.col("seen.height").alias("image_height"), "seen.alignment_method",
+        "seen.used_perspective_warp", sc.catalogue_status(F.col("seen.used_perspective_warp"), F.col("seen.error")).alias("status"), "seen.error",
+    )
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, width, height, rgb): PNG and JPEG images, their pixels row by row as red, green and blue bytes; other files fail the read.
+
+    Spark decodes them. Pages of PDF files need a renderer that is not here: read_archives gives their bytes.
+    """
+    i = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+
+    @F.pandas_udf("binary")
+    def rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
+        def one(raw, n):
+            if n <= 0:
+                raise ValueError("not an image")
+            x = np.frombuffer(raw, np.uint8).reshape(-1, n)
+            return (np.repeat(x, 3, axis=1) if n == 1 else x[:, 2::-1]).tobytes()  # held as blue, green, red
+
+        return pd.Series([one(a, b) for a, b in zip(data, channels, strict=True)])
+
+    return i.select("origin", "width", "height", rgb("data", "nChannels").alias("rgb"))
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -80,3 +132,15 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 def report(rows: DataFrame) -> DataFrame:
     """One JSON text for each row of a report, its keys in alphabetical order."""
     return rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+
+
+def write_document(text: str, path: str) -> None:
+    """One JSON document on the driver's disk, its folders made, with a newline at its end."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text if text.endswith("\n") else text + "\n", encoding="utf-8")
+
+
+def write_crops(rows: DataFrame, path: str) -> None:
+    """(field_type, split, document_id, name, png, ...): a table of crops in folders by field type and split."""
+    rows.write.mode("append").partitionBy("field_type", "split").parquet(path)

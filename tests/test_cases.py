@@ -109,6 +109,120 @@ def test_scalars(spark):
     assert (r.box, r.none, len(r.crop), r.n, r.big, tuple(r.shot), r.c) == ([2, 2, 8, 4], None, 20, 12, None, ("three_point", 3), "pdf_scan")
 
 
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
+
+
+def test_names_and_paths(spark):
+    lit = F.lit
+    assert one(spark, *[sc.slug(lit(x)) for x in ("Sub-17 Ca\u00e7a & \u00c1gua!", "  ", "--A__b--", "\u4e2d")]) == ("sub-17-caca-agua", "documento", "a-b", "documento")
+    assert one(spark, *[sc.safe_path(lit(x)) for x in ("a/b.pdf", "a\\b.pdf", "../a/b.pdf", "/a/b.pdf", "b.pdf", "a/../b.pdf", "./a/b.pdf")]) == (True, True, False, False, False, False, True)
+    assert one(spark, sc.category_of(lit("x/u15/1.pdf")), sc.document_id(lit("U 15"), lit("Jogo 1"), lit("abcdef0123456789"))) == ("u15", "u-15-jogo-1-abcdef01")
+    with pytest.raises(Exception, match="Unsafe"):
+        one(spark, sc.category_of(lit("../1.pdf")))
+    # Known hashes: sha256("doc|jersey|A:2")[:20], sha256("writer:ana")[:12], sha1("doc|region")[:12].
+    import hashlib
+
+    sha = lambda x, n: hashlib.sha256(x.encode()).hexdigest()[:n]
+    pos = sc.position_of(lit("jersey"), lit("A"), lit(2), lit(None), lit(None), lit(None))
+    assert one(spark, sc.crop_id(lit("doc"), lit("jersey"), pos), sc.anonymous_writer(lit(" Ana ")), sc.result_id(lit("doc"), lit("region"))) == (sha("doc|jersey|A:2", 20), "writer_" + sha("writer:ana", 12), hashlib.sha1(b"doc|region").hexdigest()[:12])
+    assert one(spark, sc.position_of(lit("foul_event"), lit("B"), lit(None), lit(3), lit(None), lit(None)), sc.position_of(lit("other"), lit("B"), lit(None), lit(3), lit(None), lit("p/x"))) == ("B:3:None", "p/x")
+    assert one(spark, sc.media_url(lit("a b/\u00e9~*.png")), sc.position_text(lit("jersey"), lit("A"), lit(7), lit(None), lit(None)), sc.position_text(lit("foul_event"), lit("A"), lit(None), lit(2), lit(5))) == ("/data/local-files/?d=a%20b/%C3%A9~%2A.png", "score:A:7", "foul:A:row2:slot5")
+
+
+def test_parsing(spark):
+    lit = F.lit
+    assert one(spark, sc.parsed_roster(lit(" 4, 10,,99 ")), sc.parsed_period_scores(lit("1, 2,3 ,0"))) == ([4, 10, 99], [1, 2, 3, 0])
+    for text, message in (("x", "Invalid"), ("100", "0..99"), ("4,4", "Duplicate"), (" ,", "empty"), (",".join(map(str, range(13))), "at most 12")):
+        with pytest.raises(Exception, match=message):
+            one(spark, sc.parsed_roster(lit(text)))
+    for text, message in (("1,2,3", "exactly four"), ("1,2,3,x", "non-negative"), ("1,2,3,-4", "non-negative")):
+        with pytest.raises(Exception, match=message):
+            one(spark, sc.parsed_period_scores(lit(text)))
+    assert one(spark, *[sc.number_in(lit(x)) for x in ("+7", "-0", "007", "1e1", "", "99", "100", "-1", "1 2")]) == (7, 0, 7, None, None, 99, None, None, None)
+    assert [tuple(x) for x in one(spark, sc.team_foul_indicator(lit(4)), sc.team_foul_indicator(lit(2)), sc.team_foul_indicator(lit(1), lit(3)))] == [(4, True, 4), (2, False, 2), (1, False, 3)]
+    with pytest.raises(Exception, match="between 0 and 4"):
+        one(spark, sc.team_foul_indicator(lit(5))["x_count"])
+    assert one(spark, sc.three_point_confidence(lit(0.91), lit(0.87654))) == (0.8765,)
+
+
+def test_boxes_of_crops(spark):
+    lit = F.lit
+    assert tuple(one(spark, sc.box_from_percent(lit(-1e-8), lit(50.0), lit(50.0), lit(50.0 + 1e-8)))[0]) == (0.0, 0.5, 0.5, 0.5)
+    for box in ((-1.0, 0.0, 5.0, 5.0), (0.0, 0.0, 0.0, 5.0), (90.0, 0.0, 20.0, 5.0), (None, 0.0, 1.0, 1.0)):
+        with pytest.raises(Exception, match="ounding box"):
+            one(spark, sc.box_from_percent(*[lit(v).cast("double") for v in box]))
+    share = F.struct(lit(0.25).alias("x"), lit(0.5).alias("y"), lit(0.5).alias("width"), lit(0.25).alias("height"))
+    assert one(spark, sc.box_to_pixels(share, lit(10), lit(8))) == ([2, 4, 8, 6],)
+    assert tuple(one(spark, sc.box_to_percent(F.array(lit(2), lit(4), lit(8), lit(6)), lit(10), lit(8)))[0]) == (20.0, 50.0, 60.0, 25.0)
+    with pytest.raises(Exception, match="bounding box"):
+        one(spark, sc.checked_pixel_box(F.array(lit(0), lit(0), lit(11), lit(5)), lit(10), lit(8)))
+    with pytest.raises(Exception, match="normalized bounds"):
+        one(spark, sc.checked_rectangle(lit(0.6), lit(0.0), lit(0.5), lit(0.1)))
+
+
+def test_labels_and_states(spark):
+    lit = F.lit
+    assert one(spark, sc.final_label(lit("jersey"), lit(" 07 ")), sc.final_label(lit("foul_event"), lit("p c")), sc.final_label(lit("foul_symbol"), lit("u2"))) == ("07", "Pc", "U2")
+    for kind, label in (("jersey", "100"), ("jersey", "x"), ("foul_event", "F"), ("jersey", None)):
+        with pytest.raises(Exception, match="label"):
+            one(spark, sc.final_label(lit(kind), lit(label).cast("string")))
+    text = lambda x: lit(x).cast("string")
+    warn = lambda *x: F.array(*map(lit, x)).cast("array<string>")
+    assert one(spark, sc.review_status(text(" Reviewed "), warn()), sc.review_status(text(" "), warn("Gabarito PENDENTE.")), sc.review_status(text(None), warn("x"))) == ("reviewed", "pending", "unverified")
+    keep = lambda state, status, label="7": sc.in_training(lit("jersey"), lit("train"), text(label), text(state), text(status), "jersey", "train")
+    assert one(spark, keep("adjusted", None), keep("pending", "labeled"), keep(None, "labeled"), keep(None, "unlabeled"), keep("accepted", None, None)) == (True, False, True, False, False)
+    assert one(spark, sc.jersey_slots(lit("7")), sc.jersey_slots(lit("12"))) == ([7, 10], [1, 2])
+    p = F.array(*[lit(k / 55) for k in range(11)])
+    assert abs(one(spark, sc.jersey_probability(p, p, lit("12")))[0] - 2 / 55**2) < 1e-12
+    assert one(spark, sc.catalogue_status(lit(True), text(None)), sc.catalogue_status(lit(False), text(None)), sc.catalogue_status(lit(None).cast("boolean"), lit("E: x"))) == ("ready", "alignment_review", "unreadable")
+    assert one(spark, *[sc.dominant_colour(lit(a), lit(b)) for a, b in ((0, 0), (62, 38), (38, 62), (50, 50))]) == ("unknown", "red", "blue", "unknown")
+    assert one(spark, *[sc.red_blue_ink(*map(lit, c)) for c in ((200, 35, 35), (20, 60, 190), (255, 255, 255), (90, 80, 70))], sc.red_blue_ink(lit(80), lit(62), lit(52)), sc.red_blue_ink(lit(80), lit(62), lit(52), sc.PARTICIPATION_INK)) == ("red", "blue", None, None, "red", None)
+
+
+def test_warnings_of_a_side(spark):
+    e = events(spark, [(2, 2, "two_point", 4, "red", 1), (5, 2, "two_point", None, "red", None), (6, 0, "ambiguous", 4, "red", 1), (8, 3, "three_point", 9, "red", 1)])
+    got = [r.warnings for r in rec.event_status(e, roster(spark, [4])).orderBy("seq").collect()]
+    assert got == [[], ["Score 5: jump of 3 is incompatible with a 2-point event", "Score 5: period is unresolved", "Score 5: jersey is unresolved"], ["Score 6: ambiguous shot type"], ["Score 8: jersey 9 is not in the supplied roster"]]
+    side = "document_id long, side string, "
+    teams = spark.createDataFrame([(1, "A", 9)], side + "written_final long")
+    players = spark.createDataFrame([(1, "A", 1, 4, False, True, 2), (1, "A", 2, 5, False, False, 0), (1, "A", 3, 6, True, True, 0)], side + "row_no long, jersey long, participated boolean, starter boolean, points long")
+    fouls = spark.createDataFrame([(1, "A", 5)], side + "jersey long")
+    spine = spark.createDataFrame([(1, "A", 1, 7, 7), (1, "A", 2, 0, 3), (1, "A", 3, 0, None)], side + "period long, score long, written long")
+    v = rec.validation_warnings(teams, players, fouls, e, spine)
+    w = rec.side_warnings(rec.event_status(e, roster(spark, [4])), spark.createDataFrame([], side + "period long, x_count long, fouls long"), v).first().warnings
+    assert w[5:] == ["Detected 2 starters; expected 5", "Jersey 4: starter without participation", "Jersey 4: has a game event without a participation mark", "Jersey 5: has a game event without a participation mark", "Calculated score (7) differs from written score (9)", "Q2: calculated period score (0) differs from written score (3)"]
+    both = rec.document_warnings(spark.createDataFrame([(1, "B", ["x"]), (1, "A", ["y", "z"])], side + "warnings array<string>"))
+    assert both.first().warnings == ["Team A: y", "Team A: z", "Team B: x"]
+
+
+def test_recognised_roster(spark):
+    rows = spark.createDataFrame([(1, "A", 1, 4, 0.9, "accepted"), (1, "A", 2, 4, 0.95, "accepted"), (1, "B", 1, 7, 0.5, "accepted"), (1, "B", 2, 8, 0.9, "accepted")], "document_id long, side string, row_no long, jersey long, confidence double, recognised string")
+    sides = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A")], "document_id long, side string")
+    got = {(r.document_id, r.side): (r.roster_status, r.jerseys) for r in od.roster_status(sides, od.recognised_rows(rows, 0.8)).collect()}
+    assert got == {(1, "A"): ("unresolved", [4]), (1, "B"): ("review", [8]), (2, "A"): ("unresolved", [])}
+    assert {r.row_status for r in od.recognised_rows(rows, None).collect()} == {"review"}
+
+
+def test_profiles_and_lines(spark):
+    p = spark.createDataFrame([(1, x, v) for x, v in ((1, 5), (10, 4), (20, 3), (21, 2), (23, 1))], "cell long, pos long, value long")
+    assert sorted(r.pos for r in od.local_maxima(p, 1, ("cell",)).collect()) == [1, 10, 20]
+    assert sorted((r.first_value, r.last_value, r.center) for r in od.runs(p, "pos", ("cell",)).collect()) == [(1, 1, 1), (10, 10, 10), (20, 21, 20), (23, 23, 23)] and od.longest_run(p, "pos", ("cell",)).first().longest == 2
+    assert [r.center for r in od.gap_clusters(p, "pos", 4, ("cell",), "value").orderBy("cluster").collect()] == [1, 10, 21]
+    want = spark.createDataFrame([(1, 15.0), (1, 22.0), (2, 1.0)], "cell long, at double")
+    assert sorted((r["at"], r.nearest) for r in od.nearest(p, want, "pos", "at", ("cell",)).collect()) == [(1.0, None), (15.0, 10), (22.0, 21)]
+
+
+def test_slices_take_their_own_thresholds(spark):
+    rows = [("a", "x", "x", 0.4), ("a", "x", "y", 0.3), ("b", "x", "x", 0.9), ("b", "x", None, 1.0)]
+    p = spark.createDataFrame([(*r, "pdf_scan", True, False) for r in rows], "field_type string, expected string, predicted string, confidence double, capture string, writer_known boolean, writer_seen boolean")
+    own = ev.chosen_threshold(ev.sweep(p, "field_type"), 0.0, 0.1, "field_type")
+    got = {(r.slice, r.value): (r.total, r.accepted) for r in ev.sliced(p, 0.8, own).collect()}
+    assert got[("field_type", "a")] == (2, 1) and got[("field_type", "b")] == (2, 1) and got[("all", "*")] == (4, 1)
+    assert got[("writer_seen", "yes")] == (0, 0) and got[("writer_known", "no")] == (0, 0)
+    assert {r.writer: r.total for r in ev.by_writer(p, 0.8).collect()} == {"known_writer": 4, "unknown_writer": 0}
+
+
 def test_core_fields_of_missing_sides(spark):
     from tallyforge.operators import assessment as asm
 
