@@ -54,6 +54,26 @@ SELECT d.doc_id AS crop_id, d.lang AS field_type, CASE WHEN l.doc_id IS NULL THE
   CONCAT('h', CAST(d.n_chars AS VARCHAR(20))) AS source_hash, CASE WHEN d.doc_id % 13 = 0 THEN NULL WHEN d.doc_id % 17 = 0 THEN 'stale' ELSE CONCAT('h', CAST(d.n_chars AS VARCHAR(20))) END AS reviewed_hash,
   CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE d.source END AS label, d.doc_id % 5 <> 0 AS model_trainable
 FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
+    "ground_truth": """
+SELECT doc_id AS document_id, CONCAT('s/', CAST(doc_id AS VARCHAR(20))) AS source_path, CONCAT('{{"game_id": "', CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE CAST(doc_id AS VARCHAR(20)) END, '", "source_file": "s/', CASE WHEN doc_id % 13 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR(20)) END, '"',
+  CASE doc_id % 5 WHEN 0 THEN ', "review": {{"status": "pending"}}' WHEN 1 THEN ', "review": {{"status": " Reviewed ", "reviewed_at": "2020-01-01", "method": "manual"}}' WHEN 2 THEN ', "review": {{"status": "verified", "reviewed_at": " "}}'
+    WHEN 3 THEN ', "warnings": ["Gabarito PENDENTE.", 1]' ELSE ', "review": "reviewed", "warnings": [1]' END,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE CONCAT(', "teams": {{"A": ', CONCAT('{{"roster": [', CASE WHEN (doc_id + 0) % 6 = 0 THEN '' ELSE '4, 5' END, '], "team_fouls": {{"Q1": 1, "Q2": ', CASE WHEN (doc_id + 0) % 8 = 0 THEN 'null' ELSE '2' END, ', "Q3": 0, "Q4": true}}, "individual_fouls_reviewed": ',
+    CASE WHEN (doc_id + 0) % 9 = 0 THEN 'false' ELSE 'true' END, CASE (doc_id + 0) % 4 WHEN 0 THEN ', "individual_foul_observations": []' WHEN 1 THEN ', "individual_foul_observations": {{"4": [{{"slot": 1, "review_state": "verified"}}, {{"slot": 2}}], "5": [7], "6": 1}}'
+    WHEN 2 THEN ', "individual_foul_observations": {{"5": [{{"slot": 1, "review_state": "unresolved"}}]}}' ELSE '' END, '}}'), ', "B": ', CASE WHEN doc_id % 10 = 3 THEN 'null' ELSE CONCAT('{{"roster": [', CASE WHEN (doc_id + 1) % 6 = 0 THEN '' ELSE '4, 5' END, '], "team_fouls": {{"Q1": 1, "Q2": ', CASE WHEN (doc_id + 1) % 8 = 0 THEN 'null' ELSE '2' END, ', "Q3": 0, "Q4": true}}, "individual_fouls_reviewed": ',
+    CASE WHEN (doc_id + 1) % 9 = 0 THEN 'false' ELSE 'true' END, CASE (doc_id + 1) % 4 WHEN 0 THEN ', "individual_foul_observations": []' WHEN 1 THEN ', "individual_foul_observations": {{"4": [{{"slot": 1, "review_state": "verified"}}, {{"slot": 2}}], "5": [7], "6": 1}}'
+    WHEN 2 THEN ', "individual_foul_observations": {{"5": [{{"slot": 1, "review_state": "unresolved"}}]}}' ELSE '' END, '}}') END, '}}') END,
+  ', "period_scores": {{"A": {{"Q1": ', CAST(doc_id % 4 AS VARCHAR(20)), ', "Q2": 2, "Q3": 0, "Q4": ', CASE WHEN doc_id % 17 = 0 THEN '1.5' ELSE '1' END, '}}, "B": {{"Q1": 0, "Q2": 0, "Q3": 0, "Q4": 0}}}}, "final_score": {{"A": ', CAST(doc_id % 4 + 3 + CASE WHEN doc_id % 6 = 1 THEN 1 ELSE 0 END AS VARCHAR(20)), ', "B": ',
+  CASE WHEN doc_id % 19 = 0 THEN '"0"' ELSE '0' END, '}}', CASE doc_id % 4 WHEN 0 THEN ', "scoring": []' WHEN 1 THEN '' WHEN 2 THEN ', "scoring": [{{"team": "A", "period": "Q1", "points": 2}}, {{"team": "A", "period": "Q2", "points": 2}}, {{"team": "A", "period": "Q4", "points": true}}, 5, {{"team": "C", "period": "Q1", "points": 3}}]'
+    ELSE ', "scoring": [{{"team": "B", "period": "Q4", "points": 1}}, {{"team": "A", "period": "Q1", "points": 3}}]' END, CASE doc_id % 6 WHEN 0 THEN ', "evaluation_split": "test"' WHEN 1 THEN ', "evaluation_split": null' WHEN 2 THEN ', "evaluation_split": "dev"' ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE CONCAT(', "writer_name": " W', CAST(doc_id % 29 AS VARCHAR(20)), '"') END, '}}') AS text FROM {documents}""",
+    "automatic_crops": """
+SELECT d.doc_id AS crop_id, CASE d.doc_id % 5 WHEN 0 THEN 'jersey' WHEN 1 THEN 'scoring_event' WHEN 2 THEN 'foul_event' WHEN 3 THEN 'foul_symbol' ELSE 'other' END AS field_type, CAST(d.n_chars AS VARCHAR(20)) AS source_image_hash,
+  CASE WHEN d.doc_id % 23 = 0 THEN NULL ELSE CAST(d.n_chars % 7 AS VARCHAR(20)) END AS crop_image_hash, d.doc_id % 6 <> 0 AS model_trainable, CASE WHEN d.doc_id % 8 = 0 THEN 'labeled' ELSE 'unlabeled' END AS status FROM {documents} d""",
+    "reviewed_crops": """
+SELECT d.doc_id AS crop_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'accepted' WHEN l.quality = 1 THEN 'adjusted' WHEN d.doc_id % 4 = 0 THEN 'rejected_empty' ELSE 'illegible' END AS review_state,
+  CASE WHEN d.doc_id % 17 = 0 THEN 'old' WHEN d.doc_id % 13 = 0 THEN NULL ELSE CAST(d.n_chars AS VARCHAR(20)) END AS source_image_hash, CAST(d.n_chars % 7 AS VARCHAR(20)) AS crop_image_hash, CASE WHEN d.doc_id % 9 = 0 THEN NULL ELSE d.source END AS label,
+  d.doc_id % 6 <> 0 AS model_trainable, d.doc_id % 10 = 3 AS audit_required, CASE d.doc_id % 3 WHEN 0 THEN 'passed' WHEN 1 THEN 'corrected' ELSE 'pending' END AS audit_state FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "pixels": """
 SELECT l_orderkey AS cell, l_partkey % 40 AS x, l_suppkey % 40 AS y FROM {lineitem}""",
     "candidates": """

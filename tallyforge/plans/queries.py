@@ -11,6 +11,7 @@ from ..functions import scalars as sc
 from ..operators import assessment as asm
 from ..operators import evaluation as ev
 from ..operators import governance as gv
+from ..operators import groundtruth as gt
 from ..operators import ordered as od
 from ..operators import pixels as px
 from ..operators import recognition as rc
@@ -32,7 +33,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-EV, PL, FO, TF, WR, PR, CA, RV, PX = (bridge_sql(n) for n in ("scoring_events", "players", "foul_cells", "team_foul_cells", "written_scores", "predictions", "catalog", "reviews", "pixels"))
+EV, PL, FO, TF, WR, PR, CA, RV, PX, GT, AC, RC = (
+    bridge_sql(n) for n in ("scoring_events", "players", "foul_cells", "team_foul_cells", "written_scores", "predictions", "catalog", "reviews", "pixels", "ground_truth", "automatic_crops", "reviewed_crops")
+)
 BY = "PARTITION BY document_id, side ORDER BY running_score, seq"
 DELTA = f"(SELECT *, running_score - COALESCE(LAG(running_score) OVER ({BY}), 0) AS delta FROM {EV} b)"
 PERIODS = f"""(SELECT document_id, side, event_id, points, shot_type, jersey, running_score, seq, status,
@@ -346,9 +349,20 @@ def tk2(spark, d):
     return gv.audit_sample(bridge(spark, d, "reviews"))
 
 
-@query("jn14_stale", f"SELECT crop_id, field_type FROM {RV} v WHERE source_hash <> reviewed_hash")
+@query("jn14_stale", f"SELECT r.crop_id FROM {RC} r JOIN {AC} a ON a.crop_id = r.crop_id WHERE r.source_image_hash <> a.source_image_hash OR r.crop_image_hash <> a.crop_image_hash")
 def jn14(spark, d):
-    return gv.stale(bridge(spark, d, "reviews")).select("crop_id", "field_type")
+    a = bridge(spark, d, "automatic_crops").select("crop_id", "source_image_hash", "crop_image_hash")
+    r = bridge(spark, d, "reviewed_crops").select("crop_id", F.col("source_image_hash").alias("reviewed_hash"), F.col("crop_image_hash").alias("reviewed_crop_hash"))
+    return gv.stale(a.join(r, "crop_id"), (("source_image_hash", "reviewed_hash"), ("crop_image_hash", "reviewed_crop_hash"))).select("crop_id")
+
+
+SAMPLE = ORACLE_SQL["tk2_audit_sample"]
+
+
+@query("tk2_audit_states", f"""SELECT v.crop_id, s.crop_id IS NOT NULL AS audit_required, CASE WHEN s.crop_id IS NOT NULL THEN CASE WHEN v.crop_id % 2 = 0 THEN 'passed' ELSE 'pending' END END AS audit_state FROM {RV} v LEFT JOIN ({SAMPLE}) s ON v.crop_id = s.crop_id""")
+def tk2a(spark, d):
+    v = bridge(spark, d, "reviews").withColumn("audit_required", F.col("crop_id") % 2 == 0).withColumn("audit_state", F.lit("passed"))
+    return gv.audited(v, ("de", "en", "es", "fr")).select("crop_id", "audit_required", "audit_state")
 
 
 @query("st5_upsert", f"SELECT crop_id, field_type, CASE WHEN crop_id % 3 = 0 THEN review_state ELSE 'pending' END AS review_state, CASE WHEN crop_id % 3 = 0 THEN NULL ELSE label END AS label FROM {RV} v")
@@ -357,10 +371,171 @@ def st5(spark, d):
     return gv.merged_reviews(base, base.filter("crop_id % 3 = 0").select("crop_id", "review_state", F.lit(None).cast("string").alias("label")))
 
 
-@query("ag24_review_progress", f"""SELECT field_type, COUNT(*) AS candidates, COUNT(*) FILTER (WHERE review_state <> 'pending') AS decided, COUNT(*) FILTER (WHERE {TRAINABLE}) AS trainable, COUNT(*) FILTER (WHERE review_state <> 'pending') / COUNT(*) AS completion,
-  CASE WHEN COUNT(*) FILTER (WHERE review_state <> 'pending') > 0 THEN COUNT(*) FILTER (WHERE review_state IN ('accepted', 'adjusted', 'erasure', 'illegible')) / COUNT(*) FILTER (WHERE review_state <> 'pending') ELSE 0.0 END AS geometric FROM {RV} v GROUP BY field_type""")
+CROP = f"""(SELECT a.crop_id, a.field_type, CASE WHEN a.field_type IN ('jersey', 'scoring_event') THEN 'jerseys' ELSE 'fouls' END AS stage, old, CASE WHEN old THEN 'stale' ELSE COALESCE(r.review_state, 'pending') END AS state,
+  r.crop_id IS NOT NULL AND NOT old AND COALESCE(r.model_trainable, true) AND r.review_state IN ('accepted', 'adjusted') AND r.label IS NOT NULL AS valid, r.audit_required, r.audit_state
+  FROM (SELECT a.*, COALESCE(r.source_image_hash <> a.source_image_hash, false) OR COALESCE(r.crop_image_hash <> a.crop_image_hash, false) AS old FROM {AC} a LEFT JOIN {RC} r ON a.crop_id = r.crop_id) a LEFT JOIN {RC} r ON a.crop_id = r.crop_id WHERE a.field_type <> 'other')"""
+PROGRESS = f"""(SELECT *, CASE WHEN decided > 0 THEN geometrically_correct / decided ELSE 0.0 END AS geometric_correct_rate, decided / candidates AS completion, audit_required - audit_completed AS audit_pending FROM (SELECT stage, COUNT(*) AS candidates, COUNT(*) FILTER (WHERE state NOT IN ('pending', 'stale')) AS decided,
+  COUNT(*) FILTER (WHERE state = 'pending') AS pending, COUNT(*) FILTER (WHERE state = 'stale') AS stale, COUNT(*) FILTER (WHERE valid) AS trainable, COUNT(*) FILTER (WHERE valid AND audit_required) AS audit_required, COUNT(*) FILTER (WHERE valid AND audit_required AND audit_state IN ('passed', 'corrected')) AS audit_completed,
+  COUNT(*) FILTER (WHERE state IN ('accepted', 'adjusted', 'erasure', 'illegible')) AS geometrically_correct FROM {CROP} c GROUP BY stage) x)"""
+
+
+@query("ag24_review_progress", f"SELECT *, decided = candidates AND stale = 0 AND geometric_correct_rate >= 0.98 AS geometric_quality_met, pending = 0 AND stale = 0 AND trainable > 0 AND audit_pending = 0 AND decided = candidates AND geometric_correct_rate >= 0.98 AS ready FROM {PROGRESS} p")
 def ag24(spark, d):
-    return gv.review_progress(bridge(spark, d, "reviews"))
+    return gv.review_progress(bridge(spark, d, "automatic_crops"), bridge(spark, d, "reviewed_crops"))
+
+
+@query("ag24_states", f"SELECT stage, state, COUNT(*) AS n FROM {CROP} c GROUP BY 1, 2")
+def ag24s(spark, d):
+    return gv.crop_states(bridge(spark, d, "automatic_crops"), bridge(spark, d, "reviewed_crops")).groupBy("stage", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+FIT = f"(SELECT r.crop_id FROM {RC} r JOIN {AC} a ON r.crop_id = a.crop_id WHERE COALESCE(a.model_trainable, true) AND r.review_state IN ('accepted', 'adjusted') AND r.label IS NOT NULL AND r.source_image_hash IS NOT DISTINCT FROM a.source_image_hash AND r.crop_image_hash IS NOT DISTINCT FROM a.crop_image_hash)"
+
+
+@query("jn15_reviewed_trainable", f"SELECT crop_id FROM {FIT} f")
+def jn15(spark, d):
+    return gv.reviewed_trainable(bridge(spark, d, "automatic_crops"), bridge(spark, d, "reviewed_crops"))
+
+
+@query("ag23_crop_summary", f"SELECT *, crops - labeled AS unlabeled FROM (SELECT (SELECT COUNT(*) FROM {AC} a) AS crops, (SELECT COUNT(*) FROM (SELECT crop_id FROM {AC} a WHERE status = 'labeled' UNION SELECT crop_id FROM {FIT} f) u) AS labeled, (SELECT COUNT(*) FROM {AC} a WHERE status = 'labeled') AS automatic_labeled, (SELECT COUNT(*) FROM {FIT} f) AS reviewed_labeled) x")
+def ag23(spark, d):
+    return gv.crop_summary(bridge(spark, d, "automatic_crops"), bridge(spark, d, "reviewed_crops"))
+
+
+REG = "SELECT doc_id AS document_id, CONCAT('r', CAST(doc_id % 12 AS VARCHAR(20))) AS region, CASE WHEN doc_id % 4 = 0 THEN 'unusable' ELSE 'usable' END AS state, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 1 END AS boxed FROM {documents} b WHERE doc_id % 2 = 0"
+REGIONS = tuple(f"r{k}" for k in range(10))
+
+
+@query("ag25_geometry", f"""SELECT *, documents * 10 AS expected_regions, GREATEST(0, documents * 10 - reviewed_regions) AS pending_regions, reviewed_regions / (documents * 10) AS completion FROM (SELECT COUNT(*) AS documents, COUNT(*) FILTER (WHERE document_id % 2 = 0 AND document_id % 12 < 10) AS reviewed_regions,
+  COUNT(*) FILTER (WHERE document_id % 2 = 0 AND document_id % 12 < 10 AND document_id % 4 = 0) AS unusable_regions FROM {CA} c WHERE status = 'ready') x""")
+def ag25(spark, d):
+    reg = spark.sql(REG, documents=spark.read.parquet(f"{d}/documents.parquet"))
+    return gv.geometry_progress(bridge(spark, d, "catalog").filter("status = 'ready'"), reg, REGIONS)
+
+
+@query("jn16_regions", f"""SELECT c.document_id, t.region, CASE WHEN g.boxed IS NULL THEN t.k / 20 ELSE 0.5 END AS x, CASE WHEN g.boxed IS NULL THEN 0.25 ELSE 0.125 END AS width FROM {CA} c CROSS JOIN (SELECT 'r' || k AS region, CAST(k AS DOUBLE) AS k FROM (SELECT UNNEST([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS k) u) t
+  LEFT JOIN ({REG.format(documents="documents")}) g ON c.document_id = g.document_id AND t.region = g.region WHERE COALESCE(g.state, '') <> 'unusable'""")
+def jn16(spark, d):
+    reg = spark.sql(REG, documents=spark.read.parquet(f"{d}/documents.parquet")).withColumn("box", F.when(F.col("boxed") == 1, F.array(*[F.lit(v) for v in (0.5, 0.5, 0.125, 0.125)])))
+    template = spark.createDataFrame([(f"r{k}", k / 20, 0.25, 0.25, 0.25) for k in range(10)], "region string, x double, y double, width double, height double")
+    return gv.regions_in_use(bridge(spark, d, "catalog"), template, reg).select("document_id", "region", "x", "width")
+
+
+@query("st6_merged_regions", f"SELECT document_id, region, CASE WHEN document_id % 6 = 0 THEN 'new' ELSE state END AS state FROM ({REG.format(documents='documents')}) r UNION ALL SELECT document_id, 'extra', 'new' FROM ({REG.format(documents='documents')}) r WHERE document_id % 10 = 0")
+def st6(spark, d):
+    reg = spark.sql(REG, documents=spark.read.parquet(f"{d}/documents.parquet")).drop("boxed")
+    new = reg.filter("document_id % 6 = 0").withColumn("state", F.lit("new")).unionByName(reg.filter("document_id % 10 = 0").withColumn("region", F.lit("extra")).withColumn("state", F.lit("new")))
+    return gv.merged_regions(reg, new)
+
+
+@query("st4_writer_exposure", f"SELECT document_id, writer AS writer_id, writer IS NOT NULL AS writer_known, COALESCE(writer IN ('de', 'en'), false) AS writer_seen FROM {CA} c")
+def st4(spark, d):
+    m = bridge(spark, d, "catalog").select("document_id", F.col("writer").alias("writer_id"), F.when(F.col("writer").isin("de", "en") & (F.col("document_id") % 2 == 0), "train").otherwise("test").alias("split"))
+    return gv.with_writer_exposure(m.drop("split"), m).select("document_id", "writer_id", "writer_known", "writer_seen")
+
+
+def _json(path: str) -> str:
+    return f"json_type(j, '{path}')"
+
+
+def _whole_sql(path: str, j: str = "j") -> str:
+    return f"COALESCE(json_type({j}, '{path}') IN ('UBIGINT', 'BIGINT', 'BOOLEAN'), false)"
+
+
+def _number_sql(path: str, j: str = "j") -> str:
+    return f"CASE WHEN {_whole_sql(path, j)} THEN CASE json_extract_string({j}, '{path}') WHEN 'true' THEN 1 WHEN 'false' THEN 0 ELSE CAST(json_extract_string({j}, '{path}') AS BIGINT) END END"
+
+
+def _text_sql(path: str, j: str = "j") -> str:
+    return f"CASE WHEN json_type({j}, '{path}') = 'VARCHAR' THEN json_extract_string({j}, '{path}') END"
+
+
+def _issues_sql() -> str:
+    """The codes in order, as DuckDB reads the same JSON."""
+    told, obj = "st IN ('reviewed', 'verified')", lambda p: f"COALESCE({_json(p)} = 'OBJECT', false)"
+    blank = lambda p: f"COALESCE(TRIM({_text_sql(p)}), '') = ''"
+    out = [
+        (f"{_text_sql('$.game_id')} IS DISTINCT FROM CAST(document_id AS VARCHAR)", "game_id_mismatch"), (f"{_text_sql('$.source_file')} IS DISTINCT FROM source_path", "source_file_mismatch"),
+        (f"{told} AND NOT {obj('$.review')}", "review_metadata_missing"), (f"{told} AND {obj('$.review')} AND {blank('$.review.reviewed_at')}", "reviewed_at_missing"),
+        (f"{told} AND {obj('$.review')} AND {blank('$.review.method')}", "review_method_missing"), ("pend", "pending_review_warning_present"), (f"NOT {obj('$.teams')}", "teams_missing"),
+    ]
+    late = []
+    every = lambda p: " AND ".join(_whole_sql(f"{p}.Q{q}") for q in (1, 2, 3, 4))
+    for s in "AB":
+        t, o = f"$.teams.{s}", f"$.teams.{s}.individual_foul_observations"
+        late += [
+            (f"NOT {obj(t)}", f"team_{s}_missing"), (f"{obj(t)} AND COALESCE(json_array_length(j, '{t}.roster'), 0) = 0", f"team_{s}_roster_missing"), (f"{obj(t)} AND NOT ({every(t + '.team_fouls')})", f"team_{s}_team_fouls_incomplete"),
+            (f"{obj(t)} AND json_extract_string(j, '{t}.individual_fouls_reviewed') IS DISTINCT FROM 'true'", f"team_{s}_individual_fouls_unreviewed"), (f"{obj(t)} AND {_json(o)} IS NOT NULL AND {_json(o)} <> 'OBJECT'", f"team_{s}_individual_foul_observations_invalid"),
+            (f"{obj(t)} AND list_contains(list_transform(list_filter(json_extract(j, '{o}.*[*]'), lambda e: json_type(e) = 'OBJECT'), lambda e: COALESCE(json_extract_string(e, '$.review_state'), 'pending')), 'pending')", f"team_{s}_individual_foul_observations_pending"),
+        ]
+    late += [(f"NOT ({every(f'$.period_scores.{s}')})", f"team_{s}_period_scores_incomplete") for s in "AB"]
+    late.append((f"NOT ({_whole_sql('$.final_score.A')} AND {_whole_sql('$.final_score.B')})", "final_score_incomplete"))
+    n = "COALESCE(json_array_length(j, '$.scoring'), 0)"
+    late.append((f"COALESCE({_json('$.scoring')} <> 'ARRAY', true)", "scoring_missing"))
+    late.append((f"{n} = 0 AND GREATEST(COALESCE({_number_sql('$.final_score.A')}, 0), COALESCE({_number_sql('$.final_score.B')}, 0)) > 0", "scoring_empty"))
+    late += [(" + ".join(_number_sql(f"$.period_scores.{s}.Q{q}") for q in (1, 2, 3, 4)) + f" <> {_number_sql(f'$.final_score.{s}')}", f"team_{s}_period_total_mismatch") for s in "AB"]
+    for s in "AB":
+        for q in (1, 2, 3, 4):
+            own = f"list_filter(json_extract(j, '$.scoring[*]'), lambda e: COALESCE({_text_sql('$.team', 'e')} = '{s}' AND {_text_sql('$.period', 'e')} = 'Q{q}' AND {_whole_sql('$.points', 'e')}, false))"
+            late.append((f"{n} > 0 AND COALESCE(list_sum(list_transform({own}, lambda e: {_number_sql('$.points', 'e')})), 0) <> {_number_sql(f'$.period_scores.{s}.Q{q}')}", f"team_{s}_Q{q}_scoring_mismatch"))
+    split = (f"COALESCE({_json('$.evaluation_split')}, 'NULL') <> 'NULL' AND COALESCE({_text_sql('$.evaluation_split')} NOT IN ('train', 'validation', 'test'), true)", "evaluation_split_invalid")
+    code = lambda c: f"CASE WHEN {c[0]} THEN '{c[1]}' END"
+    return "concat_ws(',', " + ", ".join([*map(code, out), *(code((f"{obj('$.teams')} AND ({c[0]})", c[1])) for c in late), code(split)]) + ")"
+
+
+AUDITED = f"""(SELECT *, {_issues_sql()} AS issues FROM (SELECT *, COALESCE(NULLIF(LOWER(TRIM({_text_sql('$.review.status')})), ''), CASE WHEN pend THEN 'pending' ELSE 'unverified' END) AS st FROM (
+  SELECT document_id, source_path, CAST(text AS JSON) AS j, COALESCE(LOWER(CAST(json_extract(text, '$.warnings') AS VARCHAR)) LIKE '%pendente%', false) AS pend FROM {GT} g) a) b)"""
+
+
+def audited_truth(spark, d) -> DataFrame:
+    g = bridge(spark, d, "ground_truth").withColumn("document_id", F.col("document_id").cast("string"))
+    return gt.audit_rows(g.withColumn("ground_truth_sha256", F.sha2("text", 256)).withColumn("source_sha256", F.lit(None).cast("string")), "s1")
+
+
+@query("ag17_issues", f"SELECT CAST(document_id AS VARCHAR) AS document_id, st AS review_status, issues, issues = '' AS complete FROM {AUDITED} a")
+def ag17(spark, d):
+    return audited_truth(spark, d).select("document_id", "review_status", F.array_join("issues", ",").alias("issues"), F.col("ground_truth_complete").alias("complete"))
+
+
+WRITER = f"CASE WHEN {_text_sql('$.writer_name')} IS NOT NULL THEN 'writer_' || SUBSTR(sha256('writer:' || LOWER(TRIM({_text_sql('$.writer_name')}))), 1, 12) END"
+SPLITS_SQL = f"""(SELECT *, COALESCE(CASE WHEN {_text_sql('$.evaluation_split')} IN ('train', 'validation', 'test') THEN {_text_sql('$.evaluation_split')} END, {SPLIT}) AS split FROM (SELECT *, CAST(CAST(CONCAT('0x', SUBSTR(sha256(CONCAT('s1:', COALESCE('writer:' || writer, CAST(document_id AS VARCHAR)))), 1, 16)) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS b
+  FROM (SELECT *, {WRITER} AS writer FROM {AUDITED} a) w) z)"""
+
+
+@query("ag20_manifest", f"SELECT CAST(document_id AS VARCHAR) AS document_id, writer AS writer_id, split FROM {SPLITS_SQL} s")
+def ag20m(spark, d):
+    return audited_truth(spark, d).select("document_id", "writer_id", "split")
+
+
+@query("ag18_observation_counts", f"""SELECT CAST(document_id AS VARCHAR) AS document_id, s AS state, COUNT(*) AS n FROM (SELECT document_id, UNNEST(list_transform(list_filter(list_concat(json_extract(j, '$.teams.A.individual_foul_observations.*[*]'), json_extract(j, '$.teams.B.individual_foul_observations.*[*]')), lambda e: json_type(e) = 'OBJECT'),
+  lambda e: COALESCE(json_extract_string(e, '$.review_state'), 'pending'))) AS s FROM {AUDITED} a) x GROUP BY 1, 2""")
+def ag18o(spark, d):
+    return audited_truth(spark, d).select("document_id", F.explode("individual_foul_observation_counts").alias("state", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@query("ag20_report", f"""SELECT (SELECT COUNT(*) FROM {AUDITED} a) AS ground_truth_documents, (SELECT COUNT(*) FROM {AUDITED} a WHERE st IN ('reviewed', 'verified') AND issues = '') AS reviewed_ground_truth_documents, (SELECT COUNT(DISTINCT writer) FROM {SPLITS_SQL} s) AS known_writers,
+  (SELECT COUNT(*) FROM documents) AS catalog_documents, (SELECT string_agg(st || '=' || n, ',' ORDER BY st) FROM (SELECT st, COUNT(*) AS n FROM {AUDITED} a GROUP BY st) c) AS by_status, (SELECT COUNT(*) FROM {SPLITS_SQL} s WHERE split = 'test') AS test_documents,
+  NOT EXISTS (SELECT writer FROM {SPLITS_SQL} s WHERE writer IS NOT NULL GROUP BY writer HAVING COUNT(DISTINCT split) > 1) AS isolated, 'in_progress' AS status""")
+def ag20(spark, d):
+    g = bridge(spark, d, "ground_truth").withColumn("document_id", F.col("document_id").cast("string")).withColumn("ground_truth_sha256", F.sha2("text", 256))
+    catalog = g.select("document_id", "source_path", F.sha2("document_id", 256).alias("sha256"), F.lit(0).alias("ord"))
+    _, report = gt.audit(g.drop("source_path"), catalog, "s1")
+    by = F.array_join(F.transform(F.map_entries("review_status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return report.select("ground_truth_documents", "reviewed_ground_truth_documents", "known_writers", "catalog_documents", by.alias("by_status"), F.col("split_counts.test").alias("test_documents"), F.col("exit_criteria.document_and_writer_isolation").alias("isolated"), "status")
+
+
+@query("jn5_orphans", f"SELECT CAST(document_id AS VARCHAR) AS document_id, 'orphan' AS kind FROM {GT} g WHERE document_id % 9 = 0 UNION ALL SELECT CAST(document_id AS VARCHAR), 'duplicate' FROM {GT} g WHERE document_id % 9 <> 0 AND document_id % 4 = 0")
+def jn5(spark, d):
+    g = bridge(spark, d, "ground_truth").withColumn("document_id", F.col("document_id").cast("string"))
+    c = g.filter("document_id % 9 <> 0").select("document_id", "source_path", F.lit("x").alias("sha256"), F.lit(0).alias("ord"))
+    _, orphans, twice = gt.matched(g.drop("source_path"), c.unionByName(c.filter("document_id % 4 = 0").withColumn("ord", F.lit(1))))
+    return orphans.withColumn("kind", F.lit("orphan")).unionByName(twice.withColumn("kind", F.lit("duplicate")))
+
+
+# DuckDB hashes the same rows as one text; both sides name the columns in order.
+@query("ag19_fingerprint", "SELECT sha256('[' || string_agg(json_object('k', doc_id, 's', source), ',' ORDER BY doc_id) || ']') AS fingerprint FROM documents WHERE source IS NOT NULL")
+def ag19(spark, d):
+    return gv.fingerprint(spark.read.parquet(f"{d}/documents.parquet").filter("source is not null").select(F.col("doc_id").alias("k"), F.col("source").alias("s")), "k")
 
 
 @query("ag18_state_counts", f"SELECT field_type, review_state, COUNT(*) AS n FROM {RV} v GROUP BY 1, 2")
@@ -368,9 +543,10 @@ def ag18(spark, d):
     return gv.state_counts(bridge(spark, d, "reviews"))
 
 
-@query("ag22_ingest_summary", f"SELECT status, COUNT(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM {CA} c GROUP BY status")
+@query("ag22_ingest_summary", f"SELECT status, COUNT(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, COALESCE((SELECT string_agg(document_id, ',' ORDER BY category) FROM ({ORACLE_SQL['tk1_pilots']}) t WHERE t.status = c.status), '') AS pilots FROM {CA} c GROUP BY status")
 def ag22(spark, d):
-    return gv.ingest_summary(bridge(spark, d, "catalog"))
+    c = bridge(spark, d, "catalog")
+    return gv.ingest_summary(c, gv.pilots(c, 5)).withColumn("pilots", F.array_join("pilots", ","))
 
 
 @query("st1_uncovered", f"SELECT DISTINCT document_id FROM {CA} c WHERE document_id NOT IN (SELECT crop_id FROM {RV} v WHERE review_state <> 'pending')")
