@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import alignment as al
+from ..operators import annotations as an
 from ..operators import assessment as asm
 from ..operators import evaluation as ev
 from ..operators import governance as gv
@@ -321,6 +323,130 @@ def jn6(spark, d):
     return ev.aligned(truth, e.withColumn("value", F.col("points")), ("document_id", "side", "running_score"))
 
 
+# Labels of the alignment queries: what was read, with every third or so changed or left out; SQL that Spark and DuckDB read alike.
+TRUTH = {
+    "roster": "SELECT document_id, side, row_no, jersey + CASE WHEN (document_id + row_no) % 5 = 0 THEN 1 ELSE 0 END AS jersey FROM {players} b WHERE row_no <= 10",
+    "scoring": "SELECT document_id, side, running_score + document_id % 2 AS running_score, MAX(points) AS points, MAX(CASE WHEN ink_color = 'red' THEN 'Q1' ELSE 'Q2' END) AS period, CASE WHEN running_score % 4 = 0 THEN NULL ELSE MAX(jersey) END AS jersey FROM {scoring_events} b GROUP BY document_id, side, running_score",
+    "periods": "SELECT document_id, side, period, COALESCE(value, 0) + document_id % 3 AS score FROM {written_scores} b",
+    "finals": "SELECT DISTINCT document_id, side, document_id % 40 AS score FROM {written_scores} b",
+    "team_fouls": "SELECT document_id, side, period, COUNT(*) AS fouls FROM {team_foul_cells} b WHERE kind = 'x' GROUP BY document_id, side, period",
+    "fouls": "SELECT document_id, side, jersey, slot, CASE WHEN ink_color = 'red' THEN 'Q1' ELSE 'Q4' END AS period, CASE WHEN slot = 2 THEN 'P' ELSE symbol END AS symbol FROM {foul_cells} b",
+}
+READ = {
+    "roster": "SELECT document_id, side, row_no, CASE WHEN row_no % 6 = 0 THEN NULL ELSE jersey END AS jersey, 0.5 + row_no / 100.0 AS confidence FROM {players} b WHERE row_no <> 3",
+    "periods": "SELECT document_id, side, period, value AS score, CASE WHEN period = 2 THEN NULL ELSE value END AS candidate, 1.5 - period / 4.0 AS confidence FROM {written_scores} b WHERE period <> 4",
+    "finals": "SELECT DISTINCT document_id, side, document_id % 40 AS candidate, CAST(0.25 AS DOUBLE) AS confidence FROM {written_scores} b WHERE side = 'A'",
+    "fouls": "SELECT document_id, side, jersey, slot, symbol, CASE WHEN ink_color = 'unknown' THEN NULL ELSE 4 END AS period, CAST(0.75 AS DOUBLE) AS confidence FROM {foul_cells} b WHERE slot <> 4",
+}
+_OBS = ("scoring_events", "players", "written_scores", "team_foul_cells", "foul_cells")
+
+
+def labels_of(spark, d, tables: dict[str, str], name: str) -> DataFrame:
+    return spark.sql(tables[name], **{n: bridge(spark, d, n) for n in _OBS if "{" + n + "}" in tables[name]})
+
+
+def _labels_sql(tables: dict[str, str], name: str) -> str:
+    return "(" + tables[name].format(**{n: bridge_sql(n) for n in _OBS}) + ")"
+
+
+def _rows_sql(frm: str, *fields: tuple[str, str, str, str, str], keep: str = "true") -> str:
+    """SQL of prediction rows: for each field an id, a type, what is expected and read, and a confidence."""
+    return " UNION ALL ".join(f"SELECT t.document_id, {i} AS field_id, '{k}' AS field_type, CAST({e} AS VARCHAR) AS expected, CAST({p} AS VARCHAR) AS predicted, GREATEST(0, LEAST(1, COALESCE(CAST({c} AS DOUBLE), 0))) AS confidence FROM {frm}" + (f" WHERE {keep}" if k == "scoring_jersey" else "") for i, k, e, p, c in fields)
+
+
+@query("jn7_roster_fields", _rows_sql(f"{_labels_sql(TRUTH, 'roster')} t LEFT JOIN {_labels_sql(READ, 'roster')} r USING (document_id, side, row_no)", ("'roster:' || side || ':' || row_no", "roster_jersey", "t.jersey", "r.jersey", "r.confidence")))
+def jn7(spark, d):
+    return al.roster_fields(labels_of(spark, d, TRUTH, "roster"), labels_of(spark, d, READ, "roster"))
+
+
+_SCORED = f"{_labels_sql(TRUTH, 'scoring')} t LEFT JOIN (SELECT * FROM (SELECT p.*, e.confidence, ROW_NUMBER() OVER (PARTITION BY p.document_id, p.side, p.running_score ORDER BY p.seq DESC) AS rn FROM {PERIODS} p JOIN {EV} e ON p.event_id = e.event_id) x WHERE rn = 1) r USING (document_id, side, running_score)"
+
+
+@query("jn6_scoring_fields", _rows_sql(
+    _SCORED, ("'scoring:' || side || ':' || running_score || ':points'", "scoring_points", "t.points", "r.points", "r.confidence"), ("'scoring:' || side || ':' || running_score || ':period'", "scoring_period", "t.period", "'Q' || r.period", "r.confidence"),
+    ("'scoring:' || side || ':' || running_score || ':jersey'", "scoring_jersey", "t.jersey", "r.jersey", "r.confidence / 2"), keep="t.jersey IS NOT NULL"))
+def jn6f(spark, d):
+    return al.scoring_fields(labels_of(spark, d, TRUTH, "scoring"), periods(spark, d).withColumn("jersey_confidence", F.col("confidence") / 2))
+
+
+@query("jn8_period_fields", _rows_sql(
+    f"{_labels_sql(TRUTH, 'periods')} t LEFT JOIN {_labels_sql(READ, 'periods')} r USING (document_id, side, period)", ("'period_score:' || side || ':Q' || period", "period_score", "t.score", "r.score", "r.confidence"),
+    ("'written_period_score:' || side || ':Q' || period", "written_period_score", "t.score", "r.candidate", "r.confidence")))
+def jn8(spark, d):
+    return al.period_fields(labels_of(spark, d, TRUTH, "periods"), labels_of(spark, d, READ, "periods"))
+
+
+@query("jn8_final_fields", _rows_sql(
+    f"{_labels_sql(TRUTH, 'finals')} t LEFT JOIN (SELECT document_id, side, SUM(CASE WHEN points > 0 THEN points ELSE 0 END) AS calculated, MIN(COALESCE(confidence, 0)) AS least FROM {EV} b GROUP BY 1, 2) e USING (document_id, side) LEFT JOIN {_labels_sql(READ, 'finals')} r USING (document_id, side)",
+    ("'final_score:' || side", "final_score", "t.score", "CAST(COALESCE(e.calculated, 0) AS BIGINT)", "e.least"), ("'written_final_score:' || side", "written_final_score", "t.score", "r.candidate", "r.confidence")))
+def jn8f(spark, d):
+    return al.final_fields(labels_of(spark, d, TRUTH, "finals"), bridge(spark, d, "scoring_events"), labels_of(spark, d, READ, "finals"))
+
+
+@query("jn9_team_foul_fields", _rows_sql(f"{_labels_sql(TRUTH, 'team_fouls')} t LEFT JOIN {BOXES} r USING (document_id, side, period)", ("'team_fouls:' || side || ':Q' || period", "team_fouls", "t.fouls", "r.x_count", "r.confidence")))
+def jn9(spark, d):
+    return al.team_foul_fields(labels_of(spark, d, TRUTH, "team_fouls"), rec.team_foul_boxes(bridge(spark, d, "team_foul_cells")))
+
+
+@query("jn10_foul_fields", _rows_sql(
+    f"{_labels_sql(TRUTH, 'fouls')} t LEFT JOIN {_labels_sql(READ, 'fouls')} r USING (document_id, side, jersey, slot)", ("'individual_foul:' || side || ':' || jersey || ':' || slot || ':symbol'", "individual_foul_symbol", "t.symbol", "r.symbol", "r.confidence"),
+    ("'individual_foul:' || side || ':' || jersey || ':' || slot || ':period'", "individual_foul_period", "t.period", "'Q' || r.period", "r.confidence")))
+def jn10(spark, d):
+    return al.foul_fields(labels_of(spark, d, TRUTH, "fouls"), labels_of(spark, d, READ, "fouls"))
+
+
+CROPS_SQL = "SELECT event_id AS crop_id, document_id, side, CASE WHEN event_id % 2 = 0 THEN 'scoring_event' WHEN event_id % 3 = 0 THEN 'foul_terminal' ELSE 'foul_event' END AS field_type, running_score, jersey, 1 + event_id % 5 AS slot FROM {scoring_events} b"
+
+
+@query("jn21_crop_labels", f"SELECT c.crop_id, CASE WHEN c.field_type = 'scoring_event' THEN CAST(s.jersey AS VARCHAR) WHEN c.field_type = 'foul_event' THEN f.symbol END AS label FROM ({CROPS_SQL.format(scoring_events=EV)}) c LEFT JOIN {_labels_sql(TRUTH, 'scoring')} s USING (document_id, side, running_score) LEFT JOIN {_labels_sql(TRUTH, 'fouls')} f ON c.document_id = f.document_id AND c.side = f.side AND c.jersey = f.jersey AND c.slot = f.slot")
+def jn21(spark, d):
+    crops = spark.sql(CROPS_SQL, scoring_events=bridge(spark, d, "scoring_events"))
+    return al.labelled_crops(crops, labels_of(spark, d, TRUTH, "scoring"), labels_of(spark, d, TRUTH, "fouls")).select("crop_id", "label")
+
+
+# A review of crops: boxes in percent of a page of 100 by 50, some moved, some labels changed, some refused or undecided, older annotations cancelled or overruled.
+REVIEWED_SQL = """SELECT doc_id AS crop_id, doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN 'jersey' WHEN 2 THEN 'scoring_event' ELSE 'foul_event' END AS field_type, CASE WHEN doc_id % 4 IN (0, 2) THEN '12' ELSE 'Pc' END AS label, 'T' AS predicted_label, doc_id % 10 <> 8 AS model_trainable,
+  CONCAT('s', CAST(doc_id AS VARCHAR(20))) AS sheet, CONCAT('c', CAST(doc_id AS VARCHAR(20))) AS crop_hash FROM {documents} b"""
+
+
+def review_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tasks, manifest and catalogue of the jerseys stage."""
+    c = spark.sql(REVIEWED_SQL, documents=spark.read.parquet(f"{d}/documents.parquet"))
+    asked = c.filter("field_type <> 'foul_event'")
+    k = F.col("crop_id")
+    width = F.when(k % 7 == 0, 30.0).otherwise(50.0)
+    chosen = F.when(k % 12 == 0, F.array().cast("array<string>")).when(k % 9 == 0, F.array(F.lit("illegible"))).otherwise(F.array(F.lit("accepted")))
+    result = lambda kind, name, **value: F.struct(F.lit("b").alias("id"), F.lit(kind).alias("type"), F.lit(name).alias("from_name"), F.lit("image").alias("to_name"), F.struct(*[
+        value.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("x", "double"), ("y", "double"), ("width", "double"), ("height", "double"), ("rotation", "double"), ("rectanglelabels", "array<string>"), ("choices", "array<string>"), ("text", "array<string>"))]).alias("value"))
+    results = F.array(
+        result("rectanglelabels", "bbox", x=F.lit(10.0), y=F.lit(20.0), width=width, height=F.lit(40.0), rectanglelabels=F.array(F.lit("candidate"))), result("choices", "decision", choices=chosen),
+        result("textarea", "final_label", text=F.array(F.when(k % 4 == 0, " 7 ").otherwise("12"))))
+    annotation = lambda cancelled, r: F.struct(cancelled.alias("was_cancelled"), r.alias("result"))
+    # The second annotation is void for some crops: then the first, without a box, is not to be read either.
+    first = annotation(F.lit(True), F.slice(results, 1, 1))
+    data = F.struct(F.lit(None).cast("string").alias("image"), k.cast("string").alias("crop_id"), F.lit(None).cast("string").alias("document_id"), F.col("sheet").alias("source_image_hash"), F.col("crop_hash").alias("crop_image_hash"), F.lit(100).alias("image_width"), F.lit(50).alias("image_height"))
+    tasks = asked.select(data.alias("data"), F.lit(None).cast("string").alias("file_upload"), F.array(first, annotation(k % 10 == 4, results)).alias("annotations"))
+    box = F.array(F.lit(10), F.lit(10), F.lit(60), F.lit(30))
+    manifest = c.select(F.col("crop_id").cast("string").alias("crop_id"), "document_id", "field_type", "label", "predicted_label", "model_trainable", F.col("sheet").alias("source_image_hash"), F.col("crop_hash").alias("crop_image_hash"), box.alias("bbox_original"), F.lit("unlabeled").alias("status"))
+    return tasks, manifest, c.select("document_id", F.col("sheet").alias("sha256"))
+
+
+DECIDED_SQL = f"""(SELECT *, CASE WHEN decision = 'accepted' AND (crop_id % 7 = 0 OR final <> label) THEN 'adjusted' ELSE decision END AS review_state FROM (SELECT *, CASE WHEN decision = 'accepted' THEN CASE WHEN model_trainable THEN CASE WHEN crop_id % 4 = 0 THEN '7' ELSE '12' END ELSE 'T' END END AS final
+  FROM (SELECT *, CASE WHEN crop_id % 9 = 0 THEN 'illegible' ELSE 'accepted' END AS decision FROM ({REVIEWED_SQL.format(documents="documents")}) r WHERE field_type <> 'foul_event' AND crop_id % 10 <> 4 AND crop_id % 12 <> 0) x) y)"""
+
+
+@query("jn13_imported_crops", f"SELECT CAST(crop_id AS VARCHAR) AS crop_id, CASE WHEN crop_id % 7 = 0 THEN '10,10,40,30' ELSE '10,10,60,30' END AS bbox_revised, label AS label_original, final AS label_final, review_state, CASE WHEN final IS NULL THEN 'excluded' ELSE 'labeled' END AS status FROM {DECIDED_SQL} z")
+def jn13(spark, d):
+    return an.imported_crops(*review_tables(spark, d), "jerseys").drop("bbox_original").withColumn("bbox_revised", F.array_join("bbox_revised", ","))
+
+
+@query("st5_reviewed_manifest", f"""SELECT CAST(m.crop_id AS VARCHAR) AS crop_id, COALESCE(z.review_state, 'pending') AS review_state, CASE WHEN z.crop_id IS NULL THEN m.label ELSE z.final END AS label, COALESCE(r <= CEIL(n / 10), false) AS audit_required, CASE WHEN r <= CEIL(n / 10) THEN 'pending' END AS audit_state
+  FROM ({REVIEWED_SQL.format(documents="documents")}) m LEFT JOIN {DECIDED_SQL} z ON m.crop_id = z.crop_id LEFT JOIN (SELECT crop_id, ROW_NUMBER() OVER (PARTITION BY field_type ORDER BY sha1(CAST(crop_id AS VARCHAR))) AS r, COUNT(*) OVER (PARTITION BY field_type) AS n FROM {DECIDED_SQL} q WHERE model_trainable AND final IS NOT NULL) s ON m.crop_id = s.crop_id""")
+def st5m(spark, d):
+    tasks, manifest, catalog = review_tables(spark, d)
+    return an.reviewed_manifest(manifest, an.imported_crops(tasks, manifest, catalog, "jerseys"), None, "jerseys").select("crop_id", "review_state", "label", "audit_required", "audit_state")
+
+
 # DuckDB has no 64-bit unsigned conversion of hex text but by a cast with 0x.
 SPLIT = "CASE WHEN b < 0.7 THEN 'train' WHEN b < 0.85 THEN 'validation' ELSE 'test' END"
 

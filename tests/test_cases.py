@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as sc
+from tallyforge.operators import annotations as an
 from tallyforge.operators import evaluation as ev
 from tallyforge.operators import governance as gv
+from tallyforge.operators import groundtruth as gt
 from tallyforge.operators import ordered as od
 from tallyforge.operators import recognition as rc
 from tallyforge.operators import reconcile as rec
@@ -223,6 +225,142 @@ def test_slices_take_their_own_thresholds(spark):
     assert {r.writer: r.total for r in ev.by_writer(p, 0.8).collect()} == {"known_writer": 4, "unknown_writer": 0}
 
 
+def crop_task(crop="c1", decision="accepted", label="12", box=(0, 0, 50, 50), **data):
+    value = dict(zip(("x", "y", "width", "height"), box, strict=True))
+    results = [{"id": "r", "type": "rectanglelabels", "from_name": "bbox", "value": {**value, "rectanglelabels": ["candidate"]}}]
+    results += [{"id": "r", "type": "choices", "from_name": "decision", "value": {"choices": [decision]}}] if decision else []
+    results += [{"id": "r", "type": "textarea", "from_name": "final_label", "value": {"text": [label]}}] if label else []
+    return {"data": {"crop_id": crop, "source_image_hash": "s", "crop_image_hash": "h", "image_width": 80, "image_height": 40, **data}, "annotations": [{"result": results}]}
+
+
+def export(spark, tmp_path, tasks):
+    import json
+    import uuid
+
+    path = tmp_path / f"{uuid.uuid4().hex}.json"
+    path.write_text(json.dumps(tasks, indent=1))
+    return an.read_export(spark, str(path))
+
+
+MANIFEST = "crop_id string, document_id string, field_type string, label string, predicted_label string, model_trainable boolean, source_image_hash string, crop_image_hash string, bbox_original array<int>, status string"
+
+
+def test_review_round_trip(spark, tmp_path):
+    """An unlabelled crop that is accepted with a label is adjusted, is the audit sample, and passes or is corrected."""
+    m = spark.createDataFrame([("c1", "d", "scoring_event", None, None, None, "s", "h", [0, 0, 40, 20], "unlabeled"), ("c2", "d", "jersey", "7", None, None, "s", "h", None, "unlabeled")], MANIFEST)
+    c = spark.createDataFrame([("d", "s", True)], "document_id string, sha256 string, selected_pilot boolean")
+    decided = an.imported_crops(export(spark, tmp_path, [crop_task()]), m, c, "scoring")
+    r = decided.first()
+    assert (r.review_state, r.label_final, r.bbox_revised, r.status) == ("adjusted", "12", [0, 0, 40, 20], "labeled")
+    all_ = an.reviewed_manifest(m, decided, None, "scoring")
+    got = {x.crop_id: (x.review_state, x.label, x.audit_required, x.audit_state) for x in all_.collect()}
+    assert got == {"c1": ("adjusted", "12", True, "pending"), "c2": ("pending", "7", False, None)}
+    again = lambda **k: an.audited_crops(export(spark, tmp_path, [crop_task(**k)]), all_, c, "scoring").filter("crop_id = 'c1'").first()
+    assert (again().audit_state, again().review_state) == ("passed", "accepted")
+    x = again(label="13")
+    assert (x.audit_state, x.review_state, x.label) == ("corrected", "adjusted", "13")
+    x = again(decision="illegible", label=None)
+    assert (x.audit_state, x.review_state, x.label, x.status) == ("corrected", "illegible", None, "excluded")
+    with pytest.raises(Exception, match="audit sample"):
+        an.audited_crops(export(spark, tmp_path, [crop_task("c2")]), all_, c, "scoring").collect()
+    kept = an.reviewed_manifest(m, decided.limit(0), all_, "scoring").filter("crop_id = 'c1'").first()
+    assert (kept.review_state, kept.label) == ("adjusted", "12")
+
+
+@pytest.mark.parametrize("tasks, message", [
+    ([crop_task("c9")], "Unknown crop_id"), ([crop_task(), crop_task()], "Duplicate crop_id"), ([crop_task(source_image_hash="old")], "version mismatch"), ([crop_task(crop_image_hash="old")], "different crop version"),
+    ([crop_task(decision="maybe")], "Invalid decision"), ([crop_task(label=None)], "requires a label"), ([crop_task(label="100")], "Invalid label"), ([crop_task(box=(60, 0, 50, 50))], "Bounding box"), ([crop_task(image_width=0)], "Invalid dimensions"),
+    ({"data": {}}, "task list"), ([{"annotations": []}], "data object"), ([crop_task("f")], "Not of stage"),
+])
+def test_refused_reviews(spark, tmp_path, tasks, message):
+    m = spark.createDataFrame([("c1", "d", "jersey", None, None, None, "s", "h", None, "unlabeled"), ("f", "d", "foul_event", None, None, None, "s", "h", None, "unlabeled")], MANIFEST)
+    c = spark.createDataFrame([("d", "s")], "document_id string, sha256 string")
+    with pytest.raises(Exception, match=message):
+        an.imported_crops(export(spark, tmp_path, tasks), m, c, "jerseys").collect()
+
+
+def region_task(document="d", region="final_score", state="usable", **more):
+    box = {"id": "g", "type": "rectanglelabels", "from_name": "region", "value": {"x": 10, "y": 10, "width": 20, "height": 20, "rectanglelabels": [region]}}
+    choice = {"id": "g", "type": "choices", "from_name": "geometry_state", "value": {"choices": [state]}}
+    return {"data": {"document_id": document, "source_image_hash": "s"}, "annotations": [{"was_cancelled": True, "result": []}, {"result": [box, choice]}], **more}
+
+
+def test_geometry_import(spark, tmp_path):
+    from tallyforge.plans.template import template
+
+    c = spark.createDataFrame([("d", "s", True), ("x-d2", "s", True), ("d3", "s", False)], "document_id string, sha256 string, selected_pilot boolean")
+    t = template(spark)
+    uploaded = region_task(None, state="unusable", file_upload="up/1234-x-d2.png")
+    got = {r.document_id: (r.region, r.state, r.box) for r in an.imported_regions(export(spark, tmp_path, [region_task(), uploaded, {**region_task("d3"), "annotations": []}]), c, t).collect()}
+    assert got == {"d": ("final_score", "usable", [0.1, 0.1, 0.2, 0.2]), "x-d2": ("final_score", "unusable", [0.1, 0.1, 0.2, 0.2])}
+    for tasks, message in (([region_task(), region_task()], "Duplicate document"), ([region_task("q")], "Unknown document"), ([region_task(region="q")], "Unknown region"), ([region_task(state="q")], "geometry state"), ([region_task(None, file_upload="z.png")], "No unique document")):
+        with pytest.raises(Exception, match=message):
+            an.imported_regions(export(spark, tmp_path, tasks), c, t).collect()
+    stale = region_task()
+    stale["data"]["source_image_hash"] = "0"
+    with pytest.raises(Exception, match="version mismatch"):
+        an.imported_regions(export(spark, tmp_path, [stale]), c, t).collect()
+
+
+def test_tasks_given_out(spark):
+    import json
+
+    row = ("c", "d", "scoring_event", "A", 2, None, None, "Q1", "two_point", None, None, "crops/a b.png", 80, 30, [0, 0, 40, 30], "s", "h", "pending")
+    cols = "crop_id string, document_id string, field_type string, side string, running_score long, row long, slot long, period string, predicted_type string, predicted_label string, label string, media string, image_width int, image_height int, bbox_original array<int>, source_image_hash string, crop_image_hash string, review_state string"
+    done = (*row[:-1], "accepted")
+    t = [json.loads(r.task) for r in an.crop_tasks(spark.createDataFrame([row, ("c2", *done[1:])], cols), "scoring").collect()]
+    assert len(t) == 1 and t[0]["data"]["position"] == "score:A:2" and t[0]["data"]["image"].endswith("crops/a%20b.png")
+    assert t[0]["predictions"][0]["result"][0]["value"]["width"] == 50.0 and t[0]["predictions"][0]["result"][0]["value"]["height"] == 100.0
+    xml = an.labelling_config(("a", "b"))
+    assert '<Label value="b" />' in xml and "geometry_state" in xml and '<Choice value="illegible" />' in an.labelling_config()
+
+
+def test_ground_truth_audit(spark, tmp_path):
+    import json
+
+    side = {"roster": [4], "team_fouls": {"Q1": 0, "Q2": 0, "Q3": 0, "Q4": 0}, "individual_fouls_reviewed": True}
+    zero = {"Q1": 2, "Q2": 0, "Q3": 0, "Q4": 0}
+    good = {"game_id": "a", "source_file": "s/a", "writer_name": "Ana", "review": {"status": "reviewed", "reviewed_at": "2020-01-01", "method": "manual"}, "teams": {"A": side, "B": side}, "period_scores": {"A": zero, "B": {**zero, "Q1": 0}}, "final_score": {"A": 2, "B": 0},
+            "scoring": [{"team": "A", "period": "Q1", "points": 2}]}
+    seen = {**side, "individual_foul_observations": {"4": [{"slot": 1, "review_state": "unresolved", "note": "x"}]}}
+    files = {"a": good, "b": {**good, "game_id": "b", "source_file": "s/b", "teams": {"A": seen, "B": side}, "review": {"status": "reviewed", "reviewed_at": None, "method": "manual"}}, "c": {"teams": 1}, "orphan": {}}
+    for n, x in files.items():
+        (tmp_path / f"{n}.json").write_text(json.dumps(x, indent=1))
+    catalog = spark.createDataFrame([(n, f"s/{n}", "h", k) for k, n in enumerate("abcb")], "document_id string, source_path string, sha256 string, ord int")
+    rows, report = gt.audit(gt.read_ground_truth(spark, str(tmp_path)), catalog, "s1")
+    got = {r.document_id: r for r in rows.collect()}
+    assert got["a"].issues == [] and got["b"].issues == ["reviewed_at_missing"] and got["b"].individual_foul_observation_counts == {"unresolved": 1}
+    assert got["c"].issues == ["game_id_mismatch", "source_file_mismatch", "teams_missing"]
+    r = report.first()
+    assert (r.ground_truth_documents, r.reviewed_ground_truth_documents, r.known_writers, r.status) == (3, 1, 1, "in_progress") and r.duplicate_documents == ["b"] and r.orphan_ground_truth == ["orphan"]
+    # The fingerprint is that of the rows as one JSON text, keys in order; the same corpus as the last metrics' is ready once all is reviewed.
+    import hashlib
+
+    text = json.dumps([got[k].asDict() for k in sorted(got)], ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert r.corpus_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    one = catalog.filter("document_id = 'a'")
+    both, orphans, twice = gt.matched(gt.read_ground_truth(spark, str(tmp_path / "a.json")), one)
+    a = gt.audit_rows(both, "s1")
+    assert gt.audit_report(a, one, orphans, twice, "x", "x").first().status == "ready" and gt.audit_report(a, one, orphans, twice, "x").first().status == "in_progress"
+
+
+def test_coverage_and_defaults(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    cols = "document_id string, field_id string, field_type string, expected string, predicted string, confidence double, writer_known boolean, writer_seen boolean, capture string"
+    p = spark.createDataFrame([("a", "f", "t", "1", None, 0.5, None, None, None)], cols)
+    with pytest.raises(ValueError, match="cover every"):
+        gv.assert_covered(docs, p)
+    with pytest.raises(ValueError, match="outside"):
+        gv.assert_covered(docs.filter("document_id = 'b'"), p)
+    r = gv.checked_predictions(p).first()
+    assert (r.writer_known, r.writer_seen, r.capture) == (False, False, "unspecified")
+    for bad, message in ((("a", " ", "t", "1", None, 0.5, None, None, None), "field_id"), (("a", "f", None, "1", None, 0.5, None, None, None), "field_type"), (("a", "g", "t", None, None, 0.5, None, None, None), "expected")):
+        with pytest.raises(Exception, match=message):
+            gv.checked_predictions(spark.createDataFrame([bad], cols)).collect()
+    with pytest.raises(Exception, match="Duplicate prediction"):
+        gv.checked_predictions(p.unionByName(p)).collect()
+
+
 def test_core_fields_of_missing_sides(spark):
     from tallyforge.operators import assessment as asm
 
