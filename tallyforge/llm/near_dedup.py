@@ -374,4 +374,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """near_duplicates over the whole documents table."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_size")

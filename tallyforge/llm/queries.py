@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_dedup, pii, secrets, substring_dedup, topk, toxicity, warc
+from . import decontamination, language, mixing, near_dedup, oracles, pii, secrets, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1,
@@ -18,5 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_near_dedup": oracles.OP2,
+    "op3_substring_dedup": oracles.OP3,
     "op4_warc": warc.ORACLE,
+    "op7_topk": oracles.OP7,
+    "op9_decontamination": oracles.OP9,
 }
