@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from tallyforge.plans import scalar_queries  # noqa: F401
 from tallyforge.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
