@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import box_from_percent, box_to_percent, box_to_pixels, checked, checked_pixel_box, final_label, media_url, position_text, result_id
+from ..functions.scalars import FOUL_LABELS, box_from_percent, box_to_percent, box_to_pixels, checked, checked_pixel_box, final_label, media_url, position_text, result_id
 from . import governance as gv
 from .ordered import latest_annotation
 

@@ -176,6 +176,25 @@ def joined_candidates(rows: DataFrame, jersey: str = "jersey_image", score: str
     return _transformed(put, rows, name, *_image(jersey), *_image(score)).withColumn("jersey_box", box)
 
 
+def debug_parts(pages: DataFrame, regions: DataFrame, image: str = "image") -> DataFrame:
+    """(…, name, image): of every page itself, the page with the regions' outlines, and each region's part."""
+    boxes = [tuple(r) for r in regions.select("x", "y", "width", "height").collect()]  # a form's few regions
+
+    def outlined(p: np.ndarray) -> np.ndarray:
+        p = p.copy()
+        for x, y, w, h in boxes:
+            l, r = (min(max(round(v * p.shape[1]), 0), max(p.shape[1] - 1, 0)) for v in (x, x + w))  # noqa: E741
+            t, b = (min(max(round(v * p.shape[0]), 0), max(p.shape[0] - 1, 0)) for v in (y, y + h))
+            for edge in (np.s_[t : t + 4, l : r + 1], np.s_[max(b - 3, 0) : b + 1, l : r + 1], np.s_[t : b + 1, l : l + 4], np.s_[t : b + 1, max(r - 3, 0) : r + 1]):
+                p[edge] = (255, 0, 0)
+        return p
+
+    whole = pages.withColumn("name", F.lit("normalized"))
+    lines = _transformed(outlined, pages, image, *_image(image)).withColumn("name", F.lit("regions-overlay"))
+    parts = cropped(pages, regions, image).withColumnRenamed("region", "name").select(*pages.columns, "name")
+    return whole.unionByName(lines.select(*pages.columns, "name")).unionByName(parts)
+
+
 #: The canvas that recognisers read: its height and width, and the room for the writing.
 CANVAS, ROOM = (32, 64), (26, 54)
 

@@ -40,12 +40,12 @@ def read_documents(spark: SparkSession, path: str, schema: StructType | str) ->
     return rows.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", ""))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON records of a path, or none where it does not exist."""
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str, whole: bool = False) -> DataFrame:
+    """JSON records of a path, one a line or, with whole, one a file; none where the path does not exist."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
-    return read_jsonl(spark, path, schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", whole).json(path)
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,6 +100,19 @@ def ingested(entries: DataFrame, read: Callable[[bytes], tuple[int, int, str, bo
     )
 
 
+def image_header(content: bytes) -> tuple[int, int, str, bool]:
+    """Width and height of a PNG or JPEG from its head, taken as it is: no border was looked for. Another file raises."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big"), "resize", False
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 9 < len(content) and content[at] == 0xFF:
+        kind, size = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's head
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big"), "resize", False
+        at += 2 + size
+    raise ValueError("neither PNG nor JPEG")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(origin, width, height, rgb): PNG and JPEG images, their pixels row by row as red, green and blue bytes; other files fail the read.
 

@@ -1 +1 @@
-"""Package of the engine."""
+"""Streams over folders of files."""
