@@ -6,9 +6,10 @@ gives its left shards as many blocks as they have room for, of each source a mul
 right shards the rest. So a leaf, a shard, has an exact quota of each source, and all shards are equally full.
 
 A source's blocks are permuted by a hash; repeated, the permutation gives the places 0, 1, ... of its quota, which the
-shards take in turn, each as many as its own: draws are disjoint, and a shard takes no block twice before others come once.
-Within a shard blocks are shuffled by another hash. Ranks in the permutation are ranks within a leaf of
-hash values plus the blocks of the leaves before it, so no task sorts a whole source.
+shards take in turn, each as many as its own: draws are disjoint, and no block comes twice before all others came once.
+Where a shard's share begins is a rank in the permutation, and so a block: whoever holds a block's hash and these few blocks of
+its source knows its shards. They are found by counting blocks by leaves of hash values and ranking those of the leaves that hold one;
+nothing else is sorted or joined by document, and texts travel once, to their shards, which shuffle them by another hash.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .near_dedup import one_row_each
 from .scratch import dropped, small_batches, written
 
 WORD = r"[^ \t-\r]+"
@@ -129,70 +131,109 @@ def _tree(shards: int):
     return run
 
 
-def block_plan(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes (doc_id, source, size, no, source_size, target, blocks, ...), draws (doc_id, no, shard, place, block, first_word, words) and quotas (no, quota, ends).
+def _key(doc_id: Column, block: Column) -> Column:
+    return F.xxhash64(F.lit(SEED), doc_id, block)
 
-    One row a source is ranked, summed and split in one task each (targets, the tree: some 100 bytes and 10 microseconds a source and shard).
+
+def _leaf(key: Column, leaves: Column) -> Column:
+    return F.floor(F.shiftrightunsigned(key, 11) / float(1 << 53) * leaves).cast("long")
+
+
+def block_plan(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """Sizes (doc_id, source, size, no, source_size, target, block_words, blocks), and by source its part of the plan.
+
+    plan: (source, no, block_words, all_blocks, quota, leaves, ends, cuts). ends: the places in the quota where each shard's share ends; cuts: by rank, the
+    blocks (rank, leaf, key, doc_id, block) that shares begin with. docs has one row for each doc_id. One row a source is ranked, summed and split
+    in one task each (targets, the tree: some 100 bytes and 10 microseconds a source and shard).
     """
     small_batches(docs.sparkSession, 10_000)
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = sizes.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("size", "source")).alias("s")).select("doc_id", "s.size", "s.source")
     sizes = written(sizes, "sizes")
     block = F.greatest(F.lit(BLOCK_MIN), F.least(F.lit(BLOCK_MAX), F.floor(F.col("source_size") / GRAIN))).cast("long")
     per = written(targets(sizes).withColumn("block_words", block), "sources")
     known = sizes.join(per.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     known = written(known.withColumn("blocks", F.ceil(F.col("size") / F.col("block_words")).cast("long")), "known")
     dropped(sizes)
-    shares = known.groupBy("no").agg(F.sum("blocks").alias("all_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    shares = known.groupBy("no").agg(F.sum("blocks").alias("all_blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("source").alias("source"), F.first("block_words").alias("block_words"))
     shares = shares.withColumn("quota", F.coalesce(F.round(F.col("target") / F.nullif("source_size", F.lit(0)) * F.col("all_blocks")), F.lit(0)).cast("long"))
     shares = written(shares.withColumn("leaves", F.greatest(F.lit(1), F.ceil(F.col("all_blocks") / LEAF)).cast("long")), "shares")
     tree = shares.select("no", "quota", F.lit(0).alias("every")).groupBy("every").applyInArrow(_tree(shards), "no int, ends array<long>")
-    quotas = written(shares.join(tree, "no"), "quotas")
-    key = F.xxhash64(F.lit(SEED), "doc_id", "block")
-    each = (
-        known.filter("size > 0").join(quotas.filter("quota > 0").select("no", "leaves"), "no")
-        .select("doc_id", "no", "size", "block_words", "leaves", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        .select("doc_id", "no", "block", (F.col("block") * F.col("block_words")).alias("first_word"), F.least(F.col("block_words"), F.col("size") - F.col("block") * F.col("block_words")).alias("words"),
-            key.alias("key"), F.floor(F.shiftrightunsigned(key, 11) / float(1 << 53) * F.col("leaves")).cast("long").alias("leaf"))
-    )
+    ranks = F.array_distinct(F.transform(F.concat(F.array(F.lit(0).cast("long")), "ends"), lambda e: e % F.col("all_blocks")))
+    quotas = written(shares.join(tree, "no").filter("quota > 0").withColumn("ranks", ranks), "quotas")
+    each = known.filter("size > 0").join(quotas.select("no", "leaves"), "no").select("doc_id", "no", "leaves", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    each = each.withColumn("key", _key(F.col("doc_id"), F.col("block"))).withColumn("leaf", _leaf(F.col("key"), F.col("leaves")))
     before = Window.partitionBy("no").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)
     counts = each.groupBy("no", "leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # Leaves that begin beyond the quota give nothing.
-    wanted = counts.join(quotas.select("no", "quota", "all_blocks", "ends"), "no").filter("offset < quota").select("no", "leaf", "offset", "quota", "all_blocks", "ends")
+    inside = F.filter("ranks", lambda r: (r >= F.col("offset")) & (r < F.col("offset") + F.col("n")))
+    wanted = written(counts.join(quotas.select("no", "ranks"), "no").withColumn("ranks", inside).filter(F.size("ranks") > 0).select("no", "leaf", "offset", "ranks"), "cut-leaves")
     order = Window.partitionBy("no", "leaf").orderBy("key", "doc_id", "block")
-    ranked = each.withColumn("rank", F.row_number().over(order) - 1).join(wanted, ["no", "leaf"]).withColumn("rank", F.col("rank") + F.col("offset")).filter("rank < quota")
-    # Each turn of the permutation takes the block once more, at another place of the quota.
-    turns = ranked.withColumn("turn", F.explode(F.expr("sequence(0L, (quota - 1 - rank) div all_blocks)"))).withColumn("at", F.col("rank") + F.col("turn") * F.col("all_blocks"))
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("at"))).cast("int")
-    drawn = turns.select("doc_id", "no", shard.alias("shard"), F.xxhash64(F.lit(SEED + 1), "doc_id", "block", "turn").alias("place"), "block", "first_word", "words")
-    return known, drawn, quotas
+    ranked = each.join(wanted, ["no", "leaf"]).withColumn("rank", F.row_number().over(order) - 1 + F.col("offset")).filter(F.array_contains("ranks", F.col("rank").cast("long")))
+    cuts = ranked.groupBy("no").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").cast("long").alias("rank"), "leaf", "key", "doc_id", "block"))).alias("cuts"))
+    plan = written(quotas.join(cuts, "no").select("source", "no", "block_words", "all_blocks", "quota", "leaves", "ends", "cuts"), "plan")
+    dropped(shares, quotas, wanted, per)
+    return known, plan
+
+
+def _drawn(size: Column) -> Column:
+    """array(struct(shard, place, block, first_word, words)) of a document's draws, beside its source's plan and its doc_id.
+
+    Blocks between two cuts have the same shards: turn after turn of the permutation while its places are in the quota.
+    """
+    words, every = F.col("block_words"), F.col("all_blocks")
+
+    def of_block(block: Column) -> Column:
+        key = _key(F.col("doc_id"), block)
+
+        def of_key(k: Column) -> Column:
+            me = F.struct(_leaf(k, F.col("leaves")).alias("leaf"), k.alias("key"), F.col("doc_id").alias("doc_id"), block.alias("block"))
+            rank = F.element_at(F.filter("cuts", lambda c: F.struct(c["leaf"].alias("leaf"), c["key"].alias("key"), c["doc_id"].alias("doc_id"), c["block"].alias("block")) <= me), -1)["rank"]
+
+            def of_rank(r: Column) -> Column:
+                turns = F.when(r < F.col("quota"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1 - r) / every).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+                return F.transform(turns, lambda t: F.struct(
+                    F.size(F.filter("ends", lambda e: e <= r + t * every)).alias("shard"), F.xxhash64(F.lit(SEED + 1), F.col("doc_id"), block, t).alias("place"), block.alias("block"), (block * words).alias("first_word"),
+                    F.least(words, size - block * words).alias("words")))
+
+            return F.transform(F.array(rank), of_rank)[0]
+
+        # An array of one value binds it.
+        return F.transform(F.array(key), of_key)[0]
+
+    blocks = F.when(size > 0, F.sequence(F.lit(0).cast("long"), F.ceil(size / words).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(blocks, of_block))
+
+
+def draws(known: DataFrame, plan: DataFrame) -> DataFrame:
+    """(doc_id, no, shard, place, block, first_word, words): every draw; places are in no order."""
+    j = known.select("doc_id", "no", "size").join(plan, "no")
+    return j.select("doc_id", "no", F.explode(_drawn(F.col("size"))).alias("d")).select("doc_id", "no", "d.*")
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, shards) for every doc_id of docs(doc_id, text, source, ...).
 
     taken: words of the document in the mix, repeats counted; shards: in how many shards some are. A null or empty text has
-    size 0 and gives nothing. The null source comes last. Of repeated rows of one doc_id the longest is mixed, of equally long ones that
-    of the last source; rows without one are left out. Empty tables have no rows. Other columns are not looked at.
+    size 0 and gives nothing. The null source comes last. Of repeated rows of one doc_id the one with the greatest text is mixed,
+    of equal ones that of the last source; rows without one are left out. Empty tables have no rows. Other columns are not looked at.
     """
-    known, drawn, _ = block_plan(docs, shards)
-    got = drawn.groupBy("doc_id").agg(F.sum("words").alias("words"), F.count_distinct("shard").alias("in_shards"))
-    return known.join(got, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0).cast("long")).alias("taken"), F.coalesce("in_shards", F.lit(0).cast("long")).alias("shards"))
+    known, plan = block_plan(one_row_each(docs.select("doc_id", "text", "source")), shards)
+    j = known.join(plan.select("no", "all_blocks", "quota", "leaves", "ends", "cuts"), "no", "left").withColumn("d", F.coalesce(_drawn(F.col("size")), F.array()))
+    taken = F.aggregate("d", F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+    return j.select("doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0).cast("long")).alias("taken"), F.size(F.array_distinct(F.transform("d", lambda x: x["shard"]))).cast("long").alias("shards"))
 
 
 def mixed_texts(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(shard, place, doc_id, text) of the mix: drawn blocks, words joined by blanks, shuffled within shards.
 
-    Null and empty texts and rows without doc_id give none. Of repeated rows of one doc_id the one with most words is cut, of these the last text.
+    Null and empty texts and rows without doc_id give none; repeated rows are reduced as in mixed.
     """
-    _, drawn, _ = block_plan(docs, shards)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    texts = texts.groupBy("doc_id").agg(F.max_by("text", F.struct(F.regexp_count("text", F.lit(WORD)), F.col("text"))).alias("text"))
+    docs = one_row_each(docs.select("doc_id", "text", "source"))
+    _, plan = block_plan(docs, shards)
+    texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("_source"))
+    j = texts.join(plan, F.col("_source").eqNullSafe(F.col("source")))
     words = F.filter(F.split(F.col("text"), r"[ \t-\r]+"), lambda w: F.length(w) > 0)
-    # A text is split once, for all of its blocks: the array of one array binds its words.
-    own = drawn.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "place", F.col("first_word").cast("int").alias("first_word"), F.col("words").cast("int").alias("words"))).alias("parts"))
-    cut = F.transform(F.array(words), lambda w: F.transform("parts", lambda p: F.struct(p["shard"].alias("shard"), p["place"].alias("place"), F.array_join(F.slice(w, p["first_word"] + 1, p["words"]), " ").alias("text"))))[0]
-    out = own.join(texts, "doc_id").select("doc_id", F.explode(cut).alias("p")).select("p.shard", "p.place", "doc_id", "p.text")
+    cut = lambda w: F.transform(_drawn(F.size(w).cast("long")), lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"), F.array_join(F.slice(w, (d["first_word"] + 1).cast("int"), d["words"].cast("int")), " ").alias("text")))
+    out = j.select("doc_id", F.explode(F.transform(F.array(words), cut)[0]).alias("p")).select("p.shard", "p.place", "doc_id", "p.text")
     return out.repartition(F.col("shard"), F.pmod("place", F.lit(PARTS))).sortWithinPartitions("shard", "place")
 
 

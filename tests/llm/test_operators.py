@@ -508,9 +508,9 @@ def test_mixing(docs, rows, spark, edge):
 
 def test_tree_over_shards(spark, docs):
     """Draws of each source and shard are the tree's quotas; blocks come once before any comes twice; shards are equally full."""
-    _, drawn, quotas = mixing.block_plan(docs)
-    want = {r.no: r for r in quotas.collect()}
-    rows = drawn.collect()
+    known, plan = mixing.block_plan(docs)
+    want = {r.no: r for r in plan.collect()}
+    rows = mixing.draws(known, plan).collect()
     due = mixing.split_quotas([want[k].quota for k in sorted(want)], mixing.SHARDS)
     got = np.zeros_like(due)
     for r in rows:
@@ -523,7 +523,24 @@ def test_tree_over_shards(spark, docs):
     for no, own in times.items():
         turns = want[no].quota // want[no].all_blocks
         assert set(own.values()) <= {turns, turns + 1} and sum(own.values()) == want[no].quota
-        assert len({(r.shard, r.place) for r in rows}) == len(rows)
+    assert len({(r.shard, r.place) for r in rows}) == len(rows)
+    # By brute force: the permutation, repeated, dealt to the shards in turn.
+    ends = {k: np.cumsum(due[sorted(want).index(k)]) for k in want}
+    for no in want:
+        order = sorted({(int(r.leaf), r.key, r.doc_id, r.block) for r in spark.createDataFrame([r for r in rows if r.no == no]).join(plan.select("no", "leaves"), "no").withColumn("key", mixing._key(F.col("doc_id"), F.col("block"))).withColumn("leaf", mixing._leaf(F.col("key"), F.col("leaves"))).collect()})
+        dealt = sorted((d, b, int(np.searchsorted(ends[no], turn * want[no].all_blocks + k, side="right"))) for turn in (0, 1) for k, (_, _, d, b) in enumerate(order) if turn * want[no].all_blocks + k < want[no].quota)
+        assert dealt == sorted((r.doc_id, r.block, r.shard) for r in rows if r.no == no)
+
+
+@pytest.mark.parametrize("leaf", [16, 300])
+def test_cuts_in_many_leaves(spark, docs, monkeypatch, leaf):
+    """The plan is the same draws however many leaves the hash values have: quotas hold, reruns agree."""
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    known, plan = mixing.block_plan(docs)
+    got = {(r.no, r.shard): r.n for r in mixing.draws(known, plan).groupBy("no", "shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {r.no: r for r in plan.collect()}
+    due = mixing.split_quotas([want[k].quota for k in sorted(want)], mixing.SHARDS)
+    assert {(k, s): int(due[i, s]) for i, k in enumerate(sorted(want)) for s in range(mixing.SHARDS) if due[i, s]} == got and max(r.leaves for r in want.values()) > 10
 
 
 def test_split_quotas_law():
