@@ -25,7 +25,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     docs = near_dedup.one_row_each(docs)
     kept = near_dedup.near_duplicates(docs, NEAR_PERCENT).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # The kept ids grow with the input: never broadcast them, so that small inputs are dealt as large ones are.
+    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
