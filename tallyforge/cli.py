@@ -9,10 +9,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import analysis as ay
 from .operators import annotations as an
 from .operators import evaluation as ev
 from .operators import governance as gv
 from .operators import groundtruth as gt
+from .operators import images as im
+from .operators import pages as pg
 from .plans import template as tp
 from .sources import files
 
@@ -35,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     seed = ("--seed", {"required": True, "help": "names the deterministic split"})
     stage = ("--stage", {"required": True, "choices": ["geometry", *an.STAGE_FIELDS]})
     command("schema", "print an empty document's core fields")
+    size = ("--size", {"type": int, "nargs": 2, "default": tp.PAGE, "metavar": ("WIDTH", "HEIGHT"), "help": "pixels of a straight page"})
+    command("analyze", "images of pages and rosters to tables of events, fouls, terminals, team fouls and players", ("images", {}), ("--rosters", {"required": True, "help": "JSON lines of document_id, side, row_no, jersey"}), ("--output", {"required": True}), size)
+    command("debug", "straight pages, outlines and parts of the form's regions as a table", ("images", {}), ("--output", {"default": "debug"}), size)
     command("dataset-ingest", "archives of scans to catalogue rows, pilots and empty ground truth", ("archive", {}), root, ("--pilot-count", {"type": int, "default": 5}))
     command("dataset-audit", "what ground truth lacks, the evaluation manifest and the report", root, seed)
     command("dataset-baseline", "metrics of predictions on reviewed documents", ("predictions", {}), root, seed, ("--split", {"action": "append", "choices": list(gt.SPLITS)}), ("--max-accepted-error-rate", {"type": float, "default": 0.01}), ("--min-automation-rate", {"type": float, "default": 0.10}))
@@ -58,6 +64,26 @@ def _saved(path: str, result: object) -> object:
     return result
 
 
+def _pages(spark: SparkSession, images: str) -> DataFrame:
+    """(document_id, image) of PNG and JPEG files, named by their stems."""
+    name = F.regexp_extract("origin", r"([^/]*)\.[^./]*$", 1)
+    return files.read_images(spark, images).select(name.alias("document_id"), F.struct("width", "height", "rgb").alias("image"))
+
+
+def analyze(spark: SparkSession, images: str, rosters: str, output: str, size: Sequence[int]) -> dict:
+    listed = files.read_jsonl(spark, rosters, "document_id string, side string, row_no int, jersey long")
+    tables = ay.analyzed(_pages(spark, images), listed, size=tuple(size))
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{output}/{name}")
+    return {name: spark.read.parquet(f"{output}/{name}").count() for name in tables}
+
+
+def debug(spark: SparkSession, images: str, output: str, size: Sequence[int]) -> dict:
+    pages = pg.normalized(_pages(spark, images), *size)
+    im.debug_parts(pages.select("document_id", "alignment_method", "image"), tp.template(spark)).write.mode("overwrite").parquet(output)
+    return {"output": output, "parts": _told(spark.read.parquet(output).groupBy("document_id", "alignment_method").agg(F.count(F.lit(1)).alias("n")).orderBy("document_id"))}
+
+
 def ingest(spark: SparkSession, archive: str, root: str, pilot_count: int) -> dict:
     rows = files.ingested(files.read_archives(spark, archive), files.image_header)
     chosen = gv.pilots(rows, pilot_count)
@@ -178,6 +204,10 @@ def run(spark: SparkSession, argv: Sequence[str]) -> object:
     a = parser().parse_args(argv)
     if a.command == "schema":
         return schema(spark)
+    if a.command == "analyze":
+        return analyze(spark, a.images, a.rosters, a.output, a.size)
+    if a.command == "debug":
+        return debug(spark, a.images, a.output, a.size)
     if a.command == "dataset-ingest":
         return ingest(spark, a.archive, a.dataset, a.pilot_count)
     if a.command == "dataset-audit":

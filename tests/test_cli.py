@@ -26,6 +26,17 @@ def test_schema(spark):
     assert len(got["core_fields"]) == 18 and {f["status"] for f in got["core_fields"]} == {"unresolved"} == {got["status"]}
 
 
+def test_analyze_and_debug(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    page = np.full((350, 248, 3), 255, np.uint8)
+    (tmp_path / "in" / "d1.png").write_bytes(png(page))
+    lines(tmp_path / "rosters.jsonl", [{"document_id": "d1", "side": "A", "row_no": 1, "jersey": 4}])
+    size = ["--size", "248", "350"]
+    got = cli.run(spark, ["analyze", str(tmp_path / "in"), "--rosters", str(tmp_path / "rosters.jsonl"), "--output", str(tmp_path / "out"), *size])
+    assert got == {"scoring_events": 0, "team_fouls": 8, "fouls": 0, "terminals": 0, "players": 1}
+    assert cli.run(spark, ["debug", str(tmp_path / "in"), "--output", str(tmp_path / "debug"), *size])["parts"] == [{"alignment_method": "resize", "document_id": "d1", "n": 16}]
+
+
 def test_ingest_audit_and_baseline(spark, tmp_path):
     root = str(tmp_path / "data")
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
