@@ -54,7 +54,8 @@ def period_spine(scores: DataFrame, written: DataFrame, sides: DataFrame, keys=S
     none = lambda kind: F.lit(None).cast(kind)
     rows = scores.select(*keys, F.col("period").cast("long").alias("period"), F.col("score").cast("long").alias("score"), none("long").alias("written"), none("string").alias("s"))
     rows = rows.unionByName(written.select(*keys, F.col("period").cast("long").alias("period"), none("long").alias("score"), F.col("value").cast("long").alias("written"), F.col("status").alias("s")))
-    rows = rows.unionByName(sides.select(*keys, none("long").alias("period"), none("long").alias("score"), none("long").alias("written"), none("string").alias("s")))
+    if sides is not written:  # else its rows name the sides
+        rows = rows.unionByName(sides.select(*keys, none("long").alias("period"), none("long").alias("score"), none("long").alias("written"), none("string").alias("s")))
     one = rows.groupBy(*keys, "period").agg(F.max("score").alias("score"), F.max(F.struct(F.col("s").isNotNull().alias("is"), "written", "s")).alias("w"))
     by = one.groupBy(*keys).agg(F.max(F.when(F.col("score").isNotNull(), F.col("period"))).alias("last"), F.map_from_entries(F.collect_list(F.when(F.col("period").isNotNull(), F.struct("period", F.struct("score", "w"))))).alias("m"))
     last = F.greatest(F.lit(4).cast("long"), F.coalesce("last", F.lit(4).cast("long")))
