@@ -155,7 +155,7 @@ def _ink_sql(rules: tuple[int, ...]) -> str:
     return f"CASE WHEN {some} AND r >= g + {rg} AND r >= b + {rb} AND r >= {rl} THEN 'red' WHEN {some} AND b >= r + {br} AND b >= g + {bg} AND b >= {bl} THEN 'blue' END"
 
 
-@query("sc26_ink", f"SELECT r, g, b, {_ink_sql(sc.INK)} AS ink, {_ink_sql(sc.PARTICIPATION_INK)} AS strict, r * 0.299 + g * 0.587 + b * 0.114 < 145 AS dark FROM (SELECT DISTINCT r, g, b FROM ({PIXEL.format(lineitem='lineitem')}) q) p")
+@query("sc26_ink", f"SELECT r, g, b, {_ink_sql(sc.INK)} AS ink, {_ink_sql(sc.PARTICIPATION_INK)} AS strict, r * CAST(0.299 AS DOUBLE) + g * CAST(0.587 AS DOUBLE) + b * CAST(0.114 AS DOUBLE) < 145 AS dark FROM (SELECT DISTINCT r, g, b FROM ({PIXEL.format(lineitem='lineitem')}) q) p")
 def sc26(spark, d):
     p = spark.sql(PIXEL, lineitem=table(spark, d, "lineitem")).select("r", "g", "b").distinct()
     c = [F.col(x) for x in "rgb"]
